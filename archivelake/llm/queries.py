@@ -9,11 +9,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, quality, secret_scan, tokenstore, urls
+from . import bpe, media, packing, quality, secret_scan, tokenstore, urls
 from .common import pick, shared_dir, table, written
 from .oracles import ORACLES
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.drop("ids")
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "token-store")
     tokenstore.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -47,6 +52,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_token_store, op5_quality_rules, op6_media_sequences, op7_secret_scan, op8_packing, op10_url_filter)
+    f.__name__: f for f in (op1_byte_bpe, op4_token_store, op5_quality_rules, op6_media_sequences, op7_secret_scan, op8_packing, op10_url_filter)
 }
 ORACLE_SQL: dict[str, str] = {k: v for k, v in ORACLES.items() if k in QUERIES}
