@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import line_dedup, quality
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -44,4 +44,30 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM joined"""
 
 
-ORACLES = {"op5_quality_rules": quality_rules()}
+def line_dedup_sql() -> str:
+    """Distinct lines with their first places; pairs of like length that share half of a line, compared code point by code point."""
+    return f"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM docs),
+firsts AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM lines WHERE length(line) >= {line_dedup.MIN_CHARS} GROUP BY line),
+pairs AS (
+  SELECT a.line AS a, b.line AS b, a.first AS fa, b.first AS fb, a.n AS n, b.n AS m FROM firsts a JOIN firsts b
+  ON b.n = a.n AND a.line < b.line AND (left(a.line, (b.n - 1) // 2) = left(b.line, (b.n - 1) // 2) OR right(a.line, (b.n - 1) // 2) = right(b.line, (b.n - 1) // 2))
+  UNION ALL
+  SELECT a.line, b.line, a.first, b.first, a.n, b.n FROM firsts a JOIN firsts b
+  ON b.n = a.n + 1 AND (left(a.line, (b.n - 1) // 2) = left(b.line, (b.n - 1) // 2) OR right(a.line, (b.n - 1) // 2) = right(b.line, (b.n - 1) // 2))),
+near AS (
+  SELECT CASE WHEN fa > fb THEN a ELSE b END AS line FROM pairs
+  WHERE CASE WHEN n = m THEN len(list_filter(range(1, n + 1), lambda i: a[i] <> b[i])) = 1
+    ELSE len(list_filter(range(0, n + 1), lambda i: left(a, i) = left(b, i) AND right(a, n - i) = right(b, n - i))) > 0 END),
+judged AS (
+  SELECT l.doc_id, l.pos, l.line, f.line IS NOT NULL AND ((l.doc_id, l.pos) <> f.first OR l.line IN (SELECT line FROM near)) AS gone
+  FROM lines l LEFT JOIN firsts f ON l.line = f.line),
+sums AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM judged GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN sums USING (doc_id)"""
+
+
+ORACLES = {"op5_quality_rules": quality_rules(), "op9_line_dedup": line_dedup_sql()}

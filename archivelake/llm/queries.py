@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, quality, secret_scan, tokenstore, urls
+from . import bpe, line_dedup, media, packing, quality, secret_scan, tokenstore, urls
 from .common import pick, shared_dir, table, written
 from .oracles import ORACLES
 
@@ -47,11 +47,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.judge(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.model(urls.labelled())).drop("score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op4_token_store, op5_quality_rules, op6_media_sequences, op7_secret_scan, op8_packing, op10_url_filter)
+    f.__name__: f for f in (op1_byte_bpe, op4_token_store, op5_quality_rules, op6_media_sequences, op7_secret_scan, op8_packing, op9_line_dedup, op10_url_filter)
 }
 ORACLE_SQL: dict[str, str] = {k: v for k, v in ORACLES.items() if k in QUERIES}
