@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, packing, quality, secret_scan, tokenstore, urls
+from . import bpe, line_dedup, media, near_dup, packing, quality, secret_scan, tokenstore, urls
 from .common import pick, shared_dir, table, written
 from .oracles import ORACLES
 
@@ -19,6 +19,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.drop("ids")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.components(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "token-store")
     tokenstore.write_store(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -56,6 +60,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op4_token_store, op5_quality_rules, op6_media_sequences, op7_secret_scan, op8_packing, op9_line_dedup, op10_url_filter)
+    f.__name__: f for f in (op1_byte_bpe, op3_near_duplicates, op4_token_store, op5_quality_rules, op6_media_sequences, op7_secret_scan, op8_packing, op9_line_dedup, op10_url_filter)
 }
 ORACLE_SQL: dict[str, str] = {k: v for k, v in ORACLES.items() if k in QUERIES}
