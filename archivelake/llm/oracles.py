@@ -70,4 +70,20 @@ SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_remo
 FROM docs LEFT JOIN sums USING (doc_id)"""
 
 
-ORACLES = {"op5_quality_rules": quality_rules(), "op9_line_dedup": line_dedup_sql()}
+def substring_dedup_sql(window: int = 35) -> str:
+    """Windows as word lists, counted; a word goes if one of the windows that cover it was counted twice or more."""
+    return f"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(ws) - {window - 2})) AS i FROM docs),
+windows AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + {window - 1}], ' ')) AS h FROM starts JOIN docs USING (doc_id)),
+many AS (SELECT doc_id, i, count(*) OVER (PARTITION BY h) > 1 AS hit FROM windows),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM docs),
+judged AS (
+  SELECT doc_id, i, w, bool_or(coalesce(hit, false)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) AS gone
+  FROM words LEFT JOIN many USING (doc_id, i)),
+sums AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(w, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM judged GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN sums USING (doc_id)"""
+
+
+ORACLES = {"op2_substring_dedup": substring_dedup_sql(), "op5_quality_rules": quality_rules(), "op9_line_dedup": line_dedup_sql()}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, media, near_dup, packing, quality, secret_scan, tokenstore, urls
+from . import bpe, line_dedup, media, near_dup, packing, quality, secret_scan, substring_dedup, tokenstore, urls
 from .common import pick, shared_dir, table, written
 from .oracles import ORACLES
 
@@ -19,6 +19,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.drop("ids")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(substring_dedup.file_batches(table(spark, sf_dir, "documents"))).drop("kept")
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.components(table(spark, sf_dir, "documents"), n=3, percent=85)
 
@@ -48,7 +52,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +64,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op3_near_duplicates, op4_token_store, op5_quality_rules, op6_media_sequences, op7_secret_scan, op8_packing, op9_line_dedup, op10_url_filter)
+    f.__name__: f for f in (op1_byte_bpe, op2_substring_dedup, op3_near_duplicates, op4_token_store, op5_quality_rules, op6_media_sequences, op7_secret_scan, op8_packing, op9_line_dedup, op10_url_filter)
 }
 ORACLE_SQL: dict[str, str] = {k: v for k, v in ORACLES.items() if k in QUERIES}
