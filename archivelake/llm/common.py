@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of a batch that goes to Python, where the session keeps Spark's default of 10,000: whole
+#: texts are kilobytes each, and batches take memory beside the heap.
+BATCH_ROWS = 2_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets BATCH_ROWS for the session unless it has a number of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir`` (any path that Spark reads)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
