@@ -32,6 +32,7 @@ RELATIONS = {
 
 _TOC_FIELDS = [x.split()[0] for x in RELATIONS["toc"].split(", ")][1:]
 _BATCH_BYTES = 4 << 20
+_OBJECT_BYTES = 16 << 20
 
 
 def archive_row(toc: Toc) -> tuple:
@@ -75,6 +76,22 @@ def _batches(split: Split, values: Iterator[list[bytes]], as_text: bool) -> Iter
         yield batch()
 
 
+def _grouped(found: list[Split | BlobRef]) -> list[Split | list[BlobRef]]:
+    """Blocks as they are, single objects in groups of some megabytes."""
+    out: list = []
+    size = 0
+    for x in found:
+        if isinstance(x, Split):
+            out.append(x)
+            continue
+        if not out or isinstance(out[-1], Split) or size > _OBJECT_BYTES:
+            out.append([])
+            size = 0
+        out[-1].append(x)
+        size += x.split.end - x.split.start + 4096
+    return out
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, path: str, relation: str, dump_ids: set[int] | None) -> None:
         self.path, self.relation, self.dump_ids = path, relation, dump_ids
@@ -93,19 +110,22 @@ class ArchiveReader(DataSourceReader):
         if self.relation == "toc":
             return [_Part(toc_rows(container.toc))]
         entries = [e for e in container.toc.entries if self.dump_ids is None or e.dump_id in self.dump_ids]
-        found = container.blobs(entries) if self.relation == "blobs" else container.data(entries)
+        found = _grouped(container.blobs(entries)) if self.relation == "blobs" else container.data(entries)
         return [_Part(x) for x in found] or [_Part(None)]
 
     def read(self, partition: _Part):
         value = partition.value
         if value is None:
             return
-        if isinstance(value, list):
+        if self.relation in ("archive", "toc"):
             yield from value
         elif self.relation == "blobs":
-            found = [(value.pos, value.oid, b"".join(raw(value.split)))] if isinstance(value, BlobRef) else ((i, *x) for i, x in enumerate(blob_block(value)))
-            for pos, oid, data in found:
-                yield value.dump_id, pos, oid, data
+            if isinstance(value, Split):
+                for pos, (oid, data) in enumerate(blob_block(value)):
+                    yield value.dump_id, pos, oid, data
+            else:
+                for ref in value:
+                    yield ref.dump_id, ref.pos, ref.oid, b"".join(raw(ref.split))
         elif self.relation == "table_lines":
             yield from _batches(value, lines(value), True)
         else:
