@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import posixpath
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
@@ -77,11 +77,14 @@ class ArchiveBuilder:
 
     def add_entry(self, desc: str, namespace=None, tag=None, owner=None, defn=None, drop_stmt=None, copy_stmt=None, dependencies=()) -> ArchiveBuilder:
         """One more entry, with the next id (``last_id`` of the result)."""
-        entry = Entry(
-            self.last_id + 1, desc, section=objecttypes.section(desc), namespace=namespace, tag=tag, owner=owner,
-            defn=defn, drop_stmt=drop_stmt, copy_stmt=copy_stmt, dependencies=tuple(dependencies),
-        )
-        return self._with(entries=(*self.entries, entry))
+        values = {"namespace": namespace, "tag": tag, "owner": owner, "defn": defn, "drop_stmt": drop_stmt, "copy_stmt": copy_stmt}
+        return self.add_entries([{"desc": desc, "dependencies": tuple(dependencies)} | values])
+
+    def add_entries(self, values: Iterable[dict]) -> ArchiveBuilder:
+        """More entries, of the values of their fields, with the next ids in turn."""
+        first = self.last_id + 1
+        new_ones = [Entry(first + i, section=objecttypes.section(v["desc"]), **v) for i, v in enumerate(values)]
+        return self._with(entries=(*self.entries, *new_ones))
 
     def update(self, dump_id: int, **changes) -> ArchiveBuilder:
         """The first entry of that id with other values; unchanged if there is none."""

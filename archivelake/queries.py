@@ -117,10 +117,7 @@ def _part_rows(spark: SparkSession, sf_dir: str) -> list:
 
 
 def _part_builder(spark: SparkSession, sf_dir: str) -> ArchiveBuilder:
-    b = new("testdb")
-    for r in _part_rows(spark, sf_dir):
-        b = b.add_entry(r.desc, r.namespace, r.tag, owner="postgres", defn=f"-- {r.tag}")
-    return b
+    return new("testdb").add_entries(r.asDict() | {"owner": "postgres", "defn": f"-- {r.tag}"} for r in _part_rows(spark, sf_dir))
 
 
 def _part_toc(spark: SparkSession, sf_dir: str, form: str = "Custom") -> Archive:
