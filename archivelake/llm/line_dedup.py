@@ -30,7 +30,7 @@ alike.  An empty table gives an empty result.  Other columns are ignored by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick, written
@@ -92,14 +92,17 @@ def near_pairs(lines: DataFrame) -> DataFrame:
     """(id, earlier) of ``lines(id, first, line)``, distinct lines with the place where
     each first occurs: for every line that has an earlier one at one edit, at least
     one such pair, verified."""
-    keyed = variants(lines)
-    struct = F.struct("first", "id")
-    least = keyed.where("place > 0").groupBy("key", "place").agg(F.min(struct).alias("least"), F.count("*").alias("n")).where("n > 1")
-    replaced = keyed.where("place > 0").join(least, ["key", "place"]).select("id", F.col("least.id").alias("earlier"))
-    short = keyed.where("place = 0").select("key", struct.alias("a"))
-    long = keyed.where("place > 0").select("key", struct.alias("b"))
-    put_in = short.join(long, "key").select(F.greatest("a", "b")["id"].alias("id"), F.least("a", "b")["id"].alias("earlier"))
-    pairs = replaced.union(put_in).where("id <> earlier").distinct()
+    # One exchange by key serves both windows.  Distinct lines with the same variant differ in
+    # what was deleted, so a group holds no more lines than code points times places of a block.
+    keyed = variants(lines).withColumn("at", F.struct("first", "id"))
+    whole = F.max(F.when(F.col("place") == 0, F.col("at"))).over(Window.partitionBy("key"))
+    least = F.min("at").over(Window.partitionBy("key", "place"))
+    met = keyed.select("id", "place", "at", whole.alias("whole"), least.alias("least")).where("place > 0")
+    # greatest and least pass over a whole block that isn't there.
+    replaced = F.struct("id", F.col("least.id").alias("earlier"))
+    put_in = F.struct(F.greatest("at", "whole")["id"].alias("id"), F.least("at", "whole")["id"].alias("earlier"))
+    pairs = met.where("least.id <> id or whole is not null").select(F.explode(F.array(replaced, put_in)).alias("p"))
+    pairs = pairs.select("p.id", "p.earlier").where("id <> earlier").distinct()
     texts = lines.select("id", "line")
     both = pairs.join(texts, "id").join(texts.select(F.col("id").alias("earlier"), F.col("line").alias("other")), "earlier")
     return both.where(F.levenshtein("line", "other", 1) == 1).select("id", "earlier")
@@ -115,7 +118,8 @@ def _removed(texts: DataFrame, min_chars: int) -> DataFrame:
     found = _occurrences(texts, min_chars)
     place = F.struct("doc", "tag", "pos")
     # One row for each distinct line, without its text; equal lines are combined before the shuffle.
-    distinct = written(found.groupBy("id").agg(F.min(place).alias("first"), F.first(_meeting_keys(F.col("line"))).alias("keys")), "lines")
+    keyed = found.select("id", place.alias("place"), _meeting_keys(F.col("line")).alias("keys"))
+    distinct = written(keyed.groupBy("id").agg(F.min("place").alias("first"), F.first("keys").alias("keys")), "lines")
     keys = distinct.select("id", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
     meeting = keys.join(shared, "key", "left_semi").select("id").distinct()
@@ -141,7 +145,8 @@ def _judged(flat: DataFrame, doc: str, text: str, min_chars: int) -> DataFrame:
     """``flat`` with ``kept`` (its text without removed lines) and ``gone``."""
     tag = F.xxhash64(text)
     texts = flat.select(F.col(doc).alias("doc"), tag.alias("tag"), F.col(text).alias("text"))
-    removed = _removed(texts, min_chars)
+    # By hash, so that the texts needn't be sorted: a partition's removed positions are few.
+    removed = _removed(texts, min_chars).hint("shuffle_hash")
     joined = flat.withColumn("own", tag).join(removed, F.col(doc).eqNullSafe(F.col("doc")) & (F.col("own") == F.col("tag")), "left")
     return joined.withColumn("kept", _kept(F.col(text), F.col("gone")))
 
