@@ -26,11 +26,8 @@ from pyspark.sql import DataFrame
 from .common import pick
 from .tokenizing import encoder, runs
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-_ARROW = pa.schema(
-    [(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
-    + [("ids", pa.binary())]
-)
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_ARROW = pa.schema([(n, pa.int64()) for n in PIECES.replace(" long", "").split(", ")])
 
 
 class SumOfSquares:
@@ -100,10 +97,10 @@ class SumOfSquares:
             yield window
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 1024, slack: int = 8) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 1024, slack: int = 8, with_ids: bool = True) -> DataFrame:
     """One row per piece of a document (see PIECES); ``sequence_id`` and ``offset``
-    say where it lies, ``ids`` holds its ids as little-endian unsigned 32-bit
-    integers.  A sequence is to be padded to ``capacity`` unless its length is a
+    say where it lies; ``with_ids`` adds ``ids``, its ids as little-endian unsigned
+    32-bit integers.  A sequence is to be padded to ``capacity`` unless its length is a
     power of two.
 
     No shuffle: each partition of ``docs`` is packed by itself, with open windows
@@ -111,6 +108,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 1024
     times 2**40.
     """
 
+    columns = _ARROW.append(pa.field("ids", pa.binary())) if with_ids else _ARROW
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, True).encode
         end = np.array([end_id], "<u4").tobytes()
@@ -125,12 +124,12 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 1024
             offset = 0
             for (key, doc_id, total, base), start, length in window:
                 ids = held[key][4 * (start - base) : 4 * (start - base + length)]
-                rows.append((doc_id, start, length, zlib.crc32(ids), total, sequence, offset, ids))
+                rows.append((doc_id, start, length, zlib.crc32(ids), total, sequence, offset, ids)[: len(columns)])
                 offset += length
             sequence += 1
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+            out = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), columns, strict=True)], schema=columns)
             rows.clear()
             return out
 
@@ -143,7 +142,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 1024
                     whole = total - total % capacity
                     for start in range(0, whole, capacity):
                         part = ids[4 * start : 4 * (start + capacity)]
-                        rows.append((doc_id, start, capacity, zlib.crc32(part), total, sequence, 0, part))
+                        rows.append((doc_id, start, capacity, zlib.crc32(part), total, sequence, 0, part)[: len(columns)])
                         sequence += 1
                     if whole < total:
                         number += 1
@@ -161,4 +160,4 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 1024
         if rows:
             yield flush()
 
-    return pick(docs, "doc_id", "text").mapInArrow(packed, PIECES)
+    return pick(docs, "doc_id", "text").mapInArrow(packed, PIECES + ", ids binary" * with_ids)

@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 #: Pieces kept in memory by each Python worker; beyond it the memory starts anew.
-MEMORY_PIECES = 300_000
+MEMORY_PIECES = 800_000
+
+
+_WORD = r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,!?;:]*(?:[ \n]|\Z))|[.,!?;:]+(?=[ \n]|\Z)"
 
 
 class PieceEncoder:
     """Encodes texts piece by piece; equal to encoding each text at once.
 
-    A piece is the white space before a word and the word.  Both vocabularies
-    split a text at these places before merging, so that pieces don't influence
-    each other, as long as a text has no white space but blanks and line ends.
-    Any other text is encoded as a whole.
+    A piece is the white space before a word and the word; punctuation behind a word
+    of Latin letters is a piece of its own.  Both vocabularies split a text at these
+    places before merging, so that pieces don't influence each other, as long as a
+    text has no white space but blanks and line ends.  Any other text is encoded as
+    a whole.  New words of letters are encoded many at a time, one after the other in
+    one text: the first token of a word, or the last, is marked in the vocabulary.
 
-    keep_space: whether white space is part of the tokens that follow it.
+    keep_space: whether white space is part of the tokens that follow it (a word's
+    first token then begins with a blank; otherwise its last one has a word end).
     """
 
     def __init__(self, path: str, keep_space: bool) -> None:
@@ -28,25 +36,53 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces = re.compile(r"[ \n]*[^ \n]+|[ \n]+" if keep_space else r"[^ \n]+").findall
+        self.keep_space = keep_space
+        self.pieces = re.compile(rf" ?{_WORD}|[ \n]*[^ \n]+|[ \n]+" if keep_space else rf"{_WORD}|[^ \n]+").findall
         self.odd = re.compile(r"[^\S \n]").search
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.marked = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.marked[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if keep_space else t.endswith("</w>"))]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters, with a blank before each if white space is kept."""
+        ids = np.array(self.tokenizer.encode_batch_fast([("" if self.keep_space else " ").join(words)], add_special_tokens=False)[0].ids, "<u4")
+        at = np.flatnonzero(self.marked[ids])
+        if len(at) != len(words):
+            return self._ids(words)
+        cuts = (4 * (np.append(at, len(ids)) if self.keep_space else np.concatenate([[0], at + 1]))).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        if self.keep_space:
+            words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        else:
+            words = [p for p in new if p.isalpha()]
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            self.known.update(zip(part, self._words(part), strict=True))
+        rest = list(new.difference(words))
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            self.known.update(zip(part, self._ids(part), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > MEMORY_PIECES:
             self.known = {}
-        known = self.known
-        split: list[list[str] | None] = [None if self.odd(t) else self.pieces(t) for t in texts]
-        new = list({p for s in split if s for p in s if p not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            known.update(zip(part, self._ids(part), strict=True))
+        split = [None if self.odd(t) else self.pieces(t) for t in texts]
+        new = set(chain.from_iterable(s for s in split if s)).difference(self.known)
+        if new:
+            gc.disable()  # nothing here makes cycles, and many short-lived objects would set off searches for them
+            self._learn(new)
+            gc.enable()
+        find = self.known.__getitem__
         whole = iter(self._ids([t for t, s in zip(texts, split, strict=True) if s is None]))
-        return [next(whole) if s is None else b"".join([known[p] for p in s]) for s in split]
+        return [next(whole) if s is None else b"".join(map(find, s)) for s in split]
 
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
