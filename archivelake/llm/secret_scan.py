@@ -298,17 +298,24 @@ def without(text: str, spans: Spans, mark: str = "[SECRET]") -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """All documents and columns, with every span of a secret replaced in ``text``; a null text stays null."""
+    """All documents and columns, with every span of a secret replaced in ``text`` and
+    ``n_chars``, if there is one, counted anew where that is so; a null text stays null."""
     at = docs.columns.index("text")
+    count_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = pa.RecordBatch.from_arrays(batch.columns, names=[f"c{i}" for i in range(batch.num_columns)])
             for part in slices(flat, f"c{at}"):
                 column = part.column(at)
-                texts = [x.as_py() if not s else without(x.as_py(), s) for x, (_, s) in zip(column, _scan_column(column), strict=True)]
+                found = {i: s for i, (_, s) in enumerate(_scan_column(column)) if s}
                 columns = list(part.columns)
-                columns[at] = pa.array(texts, column.type)
+                if found:
+                    new = {i: without(column[i].as_py(), s) for i, s in found.items()}
+                    columns[at] = pa.array([new.get(i, x) for i, x in enumerate(column.to_pylist())], column.type)
+                    if count_at is not None:
+                        counts = columns[count_at]
+                        columns[count_at] = pa.array([len(new[i]) if i in new else n for i, n in enumerate(counts.to_pylist())], counts.type)
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
     flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])

@@ -59,3 +59,19 @@ def test_empty_table(spark, make_docs, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
         assert docs.count() == 0
+
+
+def test_nulls_ties_and_clashing_columns(spark, make_docs, sf_dir):
+    good = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(6))
+    rows = [(1, good), (1, good), (2, good + " more"), (None, "password=hunter2hunter2 " + good.replace("w", "v")), (None, None), (3, ""), (4, None), (5, " ".join(f"u{i}" for i in range(30000)))]
+    docs = make_docs(rows)
+    more = spark.createDataFrame([("x",) * 6], "`TEXT` string, `N_CHARS` string, gone string, c1 string, kept string, `Doc_Id` string")
+    docs = docs.crossJoin(more)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        docs = out
+    kept = docs.toDF(*[f"x{i}" for i in range(len(docs.columns))]).select("x0", "x1", "x4").collect()
+    assert sorted((str(r.x0), r.x1[:8]) for r in kept) == [("1", "w0x0 w0x"), ("1", "w0x0 w0x"), ("2", "w5x0 w5x"), ("5", "u0 u1 u2"), ("None", "[SECRET]")]
+    assert all(r.x4 == len(r.x1) for r in kept if r.x0 is None)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= 4
