@@ -12,14 +12,16 @@ linked if 100 * intersection >= percent * union.  The steps:
    what is expected at the threshold; exactly, where a sketch is the whole set).
 3. Classes that stay meet in the lists of their ``HEADS`` smallest values; two
    linked classes share none of these with a chance of (1 - percent / 100) **
-   HEADS, 6e-9 at 85.  Lists of equal members count once, and a pair is looked at
-   in the list of its smallest common value only.  A list is cut into blocks of
+   HEADS, 6e-9 at 85.  A pair is looked at in the list of its smallest common value
+   only; so lists of equal members count once, and a list whose members all have one
+   smaller value in common as their smallest is left out.  A list is cut into blocks of
    about ``BLOCK``; inside a block, the estimate from the sketch of the union
    filters pairs, exact Jaccard on full sets confirms them, and pairs that are
    already connected are passed over.  Only confirmed links leave a block.
 4. If a list has several blocks, components are formed, its members are sorted by
-   component, and those pairs of blocks which aren't of one component meet.  So a
-   large group costs rows for its blocks, never for its pairs.
+   their smallest value and component, and those pairs of blocks meet which are neither
+   of one component nor of one smaller value.  So a large group costs rows for its
+   blocks, never for its pairs.
 
 Nulls: null or wordless texts have an empty set and are linked with nothing.  Null
 doc_ids take part; a component's id is its smallest doc_id that isn't null, null if
@@ -44,7 +46,7 @@ from .textkernel import Words, mix, slices, window_hashes
 
 SKETCH = 64
 HEADS = 10
-BLOCK = 256
+BLOCK = 512
 #: Rows of six numbers that may be broadcast: some 64 bytes each.
 MOST_BROADCAST = 250_000
 
@@ -201,26 +203,31 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     """Confirmed links (a, b) between cids of ``classes(cid, n, rep, hi, lo, sketch)`` that connect all that are connected."""
     alive = written(classes.join(_survivors(classes, percent), "cid", "left_semi"), "survivors")
     sets = written(_sets(docs, alive.select("cid", "rep", "hi", "lo"), n), "sets")
-    heads = alive.select("cid", F.explode(F.slice("sketch", 1, HEADS)).alias("v"))
+    heads = alive.select("cid", F.get("sketch", F.lit(0)).alias("head"), F.explode(F.slice("sketch", 1, HEADS)).alias("v"))
     sign = F.xxhash64("cid")
-    stats = heads.groupBy("v").agg(F.count("*").alias("c"), F.bit_xor(sign).alias("x"), F.sum(F.col("cid").cast("decimal(38,0)")).alias("s")).where("c > 1")
+    stats = heads.groupBy("v").agg(
+        F.count("*").alias("c"), F.bit_xor(sign).alias("x"), F.sum(F.col("cid").cast("decimal(38,0)")).alias("s"), F.min("head").alias("low"), F.max("head").alias("high")
+    )
+    stats = stats.where("c > 1 and not (low = high and low <> v)")
     # Of lists with equal members, that of the smallest value, in the order of the sketches.
     order = F.struct((F.col("v") < 0).alias("upper"), "v")
     kept = written(stats.groupBy("c", "x", "s").agg(F.min(order).alias("o")).select(F.col("o.v").alias("v"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "lists")
     members = written(heads.join(kept, "v"), "members")
     first = members.select("v", "cid", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block"), F.lit(0).alias("side"))
     found = written(_block_links(first.join(sets, "cid"), ["block"], percent), "links")
-    large = members.where("blocks > 1").select("v", "cid")
+    large = members.where("blocks > 1").select("v", "cid", "head")
     if large.isEmpty():
         return found
 
     roots = connected(found)
-    placed = large.join(roots, F.col("cid") == F.col("node"), "left").select("v", "cid", F.coalesce("root", "cid").alias("comp"))
-    nth = F.row_number().over(Window.partitionBy("v").orderBy("comp", "cid"))
+    placed = large.join(roots, F.col("cid") == F.col("node"), "left").select("v", "cid", "head", F.coalesce("root", "cid").alias("comp"))
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("head", "comp", "cid"))
     placed = written(placed.withColumn("block", F.floor((nth - 1) / BLOCK).cast("int")), "blocks")
-    ends = placed.groupBy("v", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    other = ends.select("v", F.col("block").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    pairs = ends.withColumnRenamed("block", "i").join(other, "v").where("i <= j and (low <> high or low2 <> high2 or low <> low2)").select("v", "i", "j")
+    ends = placed.groupBy("v", "block").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("head").alias("h1"), F.max("head").alias("h2"))
+    other = ends.select("v", F.col("block").alias("j"), F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    one_component = F.expr("c1 = c2 and d1 = d2 and c1 = d1")
+    one_head = F.expr("h1 = h2 and g1 = g2 and h1 = g1 and h1 <> v")
+    pairs = ends.withColumnRenamed("block", "i").join(other, "v").where(F.expr("i <= j") & ~one_component & ~one_head).select("v", "i", "j")
     left = placed.withColumnRenamed("block", "i").join(pairs, ["v", "i"]).select("v", "i", "j", "cid", "comp", F.lit(0).alias("side"))
     right = placed.withColumnRenamed("block", "j").join(pairs.where("i < j"), ["v", "j"]).select("v", "i", "j", "cid", "comp", F.lit(1).alias("side"))
     rest = _block_links(left.union(right).join(sets, "cid"), ["i", "j"], percent)
