@@ -13,6 +13,10 @@ import numpy as np
 MEMORY_PIECES = 800_000
 
 
+_MARKS = ".,!?;:"
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_ODD_ASCII = [c for c in _ODD if c.isascii()]
 _WORD = r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,!?;:]*(?:[ \n]|\Z))|[.,!?;:]+(?=[ \n]|\Z)"
 
 
@@ -37,13 +41,18 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keep_space = keep_space
-        self.pieces = re.compile(rf" ?{_WORD}|[ \n]*[^ \n]+|[ \n]+" if keep_space else rf"{_WORD}|[^ \n]+").findall
-        self.odd = re.compile(r"[^\S \n]").search
+        # Without white space, to split at it is much the fastest; punctuation comes off new pieces.
+        self.pieces = re.compile(rf" ?{_WORD}|[ \n]*[^ \n]+|[ \n]+").findall if keep_space else str.split
         self.known: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.marked = np.zeros(max(vocabulary.values()) + 1, bool)
         self.marked[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if keep_space else t.endswith("</w>"))]] = True
 
+    @staticmethod
+    def odd(text: str) -> bool:
+        """Whether a text has white space but blanks and line ends."""
+        return any(c in text for c in (_ODD_ASCII if text.isascii() else _ODD))
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -58,10 +67,20 @@ class PieceEncoder:
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _learn(self, new: set[str]) -> None:
+        made = []
         if self.keep_space:
             words = [p for p in new if p[0] == " " and p[1:].isalpha()]
         else:
-            words = [p for p in new if p.isalpha()]
+            found, rest = set(), set()
+            for p in new:
+                word = p if p.isalpha() else p.rstrip(_MARKS)
+                if word == p or not _LETTERS(word):
+                    (found if word.isalpha() else rest).add(p)
+                else:
+                    made.append((p, word, p[len(word) :]))
+                    found.add(word)
+                    rest.add(p[len(word) :])
+            words, new = list(found.difference(self.known)), rest.difference(self.known)
         for at in range(0, len(words), 512):
             part = words[at : at + 512]
             self.known.update(zip(part, self._words(part), strict=True))
@@ -69,6 +88,8 @@ class PieceEncoder:
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             self.known.update(zip(part, self._ids(part), strict=True))
+        for piece, word, end in made:
+            self.known[piece] = self.known[word] + self.known[end]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""

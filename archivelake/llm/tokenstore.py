@@ -3,14 +3,14 @@
 File format.  A store is a Parquet table of shards, so that any file system that
 Spark reaches can hold it; a shard is one binary value:
 
-    "TKS1"  keys:u32  buckets:u32  records:u32  nulls:u32
+    "TKS1"  keys:u32  buckets:u32  records:u32  nulls:u32  width:u32
     displacement  i32[buckets]      slot or seed of each bucket of the hash
     fingerprint   u32[keys]         of the key that owns the slot
     first         u32[keys]         its first record
     count         u32[keys]         its number of records (repeated keys)
     key           i64[records]      in ascending order, null keys first
     offset        u64[records + 1]  into the ids
-    ids           u32[offset[records]]
+    ids           u16 or u32[offset[records]], by width (2 where all ids fit)
 
 All integers are little-endian.  A key is looked up by hashing it to a bucket,
 that bucket's displacement to a slot, and comparing the stored fingerprint:
@@ -96,7 +96,7 @@ def perfect_hash(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build_shard(keys: list[int | None], ids: list[bytes]) -> bytes:
-    """The shard of records in key order, null keys first."""
+    """The shard of records in key order, null keys first; ids as little-endian unsigned 32-bit integers."""
     nulls = sum(k is None for k in keys)
     own = np.array([k or 0 for k in keys], np.int64)
     distinct, first, count = np.unique(own[nulls:], return_index=True, return_counts=True)
@@ -105,24 +105,26 @@ def build_shard(keys: list[int | None], ids: list[bytes]) -> bytes:
     prints, firsts, counts = (np.zeros(len(distinct), "<u4") for _ in range(3))
     prints[slot], firsts[slot], counts[slot] = _prints(hashes), first + nulls, count
     offset = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype("<u8")
-    head = struct.pack("<4s4I", b"TKS1", len(distinct), len(displacement), len(keys), nulls)
-    return b"".join([head, displacement.astype("<i4").tobytes(), prints.tobytes(), firsts.tobytes(), counts.tobytes(), own.astype("<i8").tobytes(), offset.tobytes(), *ids])
+    payload = np.frombuffer(b"".join(ids), "<u4")
+    width = 2 if not len(payload) or payload.max() < 1 << 16 else 4
+    head = struct.pack("<4s5I", b"TKS1", len(distinct), len(displacement), len(keys), nulls, width)
+    return b"".join([head, displacement.astype("<i4").tobytes(), prints.tobytes(), firsts.tobytes(), counts.tobytes(), own.astype("<i8").tobytes(), offset.tobytes(), payload.astype(f"<u{width}").tobytes()])
 
 
 class Shard:
     """Reads a shard; ``get`` takes keys to their records in constant time each."""
 
     def __init__(self, data: bytes) -> None:
-        magic, n, buckets, self.records, self.null_records = struct.unpack_from("<4s4I", data)
+        magic, n, buckets, self.records, self.null_records, width = struct.unpack_from("<4s5I", data)
         if magic != b"TKS1":
             raise ValueError("not a shard of token ids")
-        at = 20
+        at = 24
         parts = []
         for kind, size in (("<i4", buckets), ("<u4", n), ("<u4", n), ("<u4", n), ("<i8", self.records), ("<u8", self.records + 1)):
             parts.append(np.frombuffer(data, kind, size, at))
             at += parts[-1].nbytes
         self.displacement, self.prints, self.first, self.count, self.keys, self.offset = parts
-        self.data, self.at = data, at
+        self.ids = np.frombuffer(data, f"<u{width}", int(self.offset[-1]), at)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 where the shard doesn't hold it."""
@@ -139,7 +141,7 @@ class Shard:
         return [] if slot < 0 else [self.record(r) for r in range(self.first[slot], self.first[slot] + self.count[slot])]
 
     def record(self, r: int) -> bytes:
-        return self.data[self.at + 4 * int(self.offset[r]) : self.at + 4 * int(self.offset[r + 1])]
+        return self.ids[int(self.offset[r]) : int(self.offset[r + 1])].astype("<u4").tobytes()
 
     def nulls(self) -> list[bytes]:
         return [self.record(r) for r in range(self.null_records)]
@@ -211,7 +213,7 @@ def read_records(shards: DataFrame, measure) -> DataFrame:
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                shard = Shard(data.as_py())
+                shard = Shard(data.as_buffer())
                 rows = [(None, r) for r in range(shard.null_records)]
                 keys = np.unique(shard.keys[shard.null_records :])
                 slots = shard.slots(keys)
