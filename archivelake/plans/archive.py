@@ -26,7 +26,8 @@ class Archive:
     def __init__(self, spark: SparkSession, path: str) -> None:
         register(spark)
         self.spark, self.path = spark, path
-        self.container = containers.open_container(path)
+        self.cores = spark.sparkContext.defaultParallelism
+        self.container = containers.open_container(path, self.cores)
 
     # What the archive says about itself.
 
@@ -67,7 +68,7 @@ class Archive:
         return self.contents.timestamp
 
     def relation(self, name: str, dump_ids: list[int] | None = None) -> DataFrame:
-        reader = self.spark.read.format("pgarchive").option("relation", name)
+        reader = self.spark.read.format("pgarchive").option("relation", name).option("cores", self.cores)
         if dump_ids is not None:
             reader = reader.option("dump_ids", ",".join(map(str, dump_ids)))
         return reader.load(self.path)

@@ -147,21 +147,21 @@ class ArchiveBuilder:
             storage.remove(staging)
 
 
-def _framed(parts: Iterator[bytes], int_size: int) -> Iterator[bytes]:
+def _framed(parts: Iterator[bytes], int_size: int, chunk: int) -> Iterator[bytes]:
     """Chunks, each behind its length."""
     for part in parts:
-        for at in range(0, len(part), CHUNK):
-            piece = part[at : at + CHUNK]
+        for at in range(0, len(part), chunk):
+            piece = part[at : at + chunk]
             yield put_int(len(piece), int_size) + piece
 
 
-def _regrouped(parts: Iterator[bytes]) -> Iterator[bytes]:
+def _regrouped(parts: Iterator[bytes], chunk: int) -> Iterator[bytes]:
     """The same bytes in pieces of about a chunk."""
     held, size = [], 0
     for part in parts:
         held.append(part)
         size += len(part)
-        if size >= CHUNK:
+        if size >= chunk:
             yield b"".join(held)
             held, size = [], 0
     if size:
@@ -181,6 +181,7 @@ def _stage(spark: SparkSession, payload: DataFrame | bytes, staging: str, name:
     """Encodes a payload by its partitions; int_size: of chunk lengths in a custom archive."""
     if isinstance(payload, bytes):
         payload = spark.createDataFrame([(bytearray(payload),)], "data binary").coalesce(1)
+    chunk = CHUNK
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, stored = codecs.Checksums(), 0
@@ -194,9 +195,9 @@ def _stage(spark: SparkSession, payload: DataFrame | bytes, staging: str, name:
 
         part = TaskContext.get().partitionId()
         file = storage.join(staging, f"{name}-{part}-{uuid.uuid4().hex}")  # an attempt's own
-        encoded = codecs.encode_part(_regrouped(plain()), codec)
+        encoded = codecs.encode_part(_regrouped(plain(), chunk), codec)
         with storage.create(file) as out:
-            for piece in encoded if int_size is None else _framed(encoded, int_size):
+            for piece in encoded if int_size is None else _framed(encoded, int_size, chunk):
                 out.write(piece)
                 stored += len(piece)
         values = [part, file, stored, sums.size, sums.adler, sums.crc]
@@ -213,6 +214,7 @@ def _stage(spark: SparkSession, payload: DataFrame | bytes, staging: str, name:
 
 def _stage_blocks(objects: tuple[DataFrame, ...], staging: str, name: str, codec: str, int_size: int) -> list[str]:
     """Large objects as they lie in a custom archive, in staged files, with their sizes."""
+    chunk = CHUNK
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, stored = TaskContext.get().partitionId(), 0
@@ -221,7 +223,7 @@ def _stage_blocks(objects: tuple[DataFrame, ...], staging: str, name: str, codec
             for batch in batches:
                 for oid, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     _check(oid)
-                    piece = b"".join([put_int(oid, int_size), *_framed(_whole(data or b"", codec, False), int_size), put_int(0, int_size)])
+                    piece = b"".join([put_int(oid, int_size), *_framed(_whole(data or b"", codec, False), int_size, chunk), put_int(0, int_size)])
                     stored += out.write(piece) or len(piece)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file]), pa.array([stored], pa.int64())], names=["part", "file", "stored"])
 
@@ -268,8 +270,8 @@ def _save_custom(spark: SparkSession, b: ArchiveBuilder, path: str, staging: str
             staged = _stage(spark, b.data[e.dump_id], staging, f"data{e.dump_id}", h.compression, n)
             head, tail = bytes([containers.DATA_BLOCK]) + put_int(e.dump_id, n), put_int(0, n)
             if staged.files:
-                head += b"".join(_framed(iter([codecs.head(h.compression, False)]), n))
-                tail = b"".join(_framed(iter([codecs.tail(h.compression, False, staged.sums)]), n)) + tail
+                head += b"".join(_framed(iter([codecs.head(h.compression, False)]), n, CHUNK))
+                tail = b"".join(_framed(iter([codecs.tail(h.compression, False, staged.sums)]), n, CHUNK)) + tail
             blocks[e.dump_id] = head, staged.files, tail, len(head) + staged.stored + len(tail)
     entries = [_settled(e, e.dump_id in blocks).updated(filename=None) for e in b.entries]
     preamble = put_preamble(replace(b.toc, header=h, entries=tuple(entries)))

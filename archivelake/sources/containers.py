@@ -21,8 +21,10 @@ DATA_BLOCK, BLOBS_BLOCK = 1, 3
 RESTORE = b"-- This file is included for convenience.\n-- Edit $$PATH$$ references to point to extracted files.\n"
 TAR_MAGICS = (b"ustar\0", b"ustar  \0")
 
-#: Bytes of an uncompressed payload that one task reads.
+#: Bytes of an uncompressed payload that one task reads: as many as there are for each
+#: core, within these bounds.
 SPLIT_BYTES = 64 << 20
+LEAST_SPLIT = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -120,7 +122,7 @@ def lines(split: Split) -> Iterator[list[bytes]]:
             data, skipping = data[cut + 1 :], False
         *whole, rest = (rest + data).split(b"\n")
         if whole:
-            yield [x.removesuffix(b"\r") for x in whole]
+            yield [x.removesuffix(b"\r") for x in whole] if b"\r" in data or whole[0][-1:] == b"\r" else whole
     if skipping:
         return  # a line that began before runs through all of it
     if split.end < split.stop:
@@ -153,10 +155,13 @@ class Container:
 
     format = "Custom"
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, cores: int = 1) -> None:
+        self.path, self.cores = path, cores
         self.toc = self._toc()
 
+    def split_bytes(self, size: int) -> int:
+        return min(SPLIT_BYTES, max(LEAST_SPLIT, -(-size // self.cores)))
+
     def _toc(self) -> Toc:
         raise NotImplementedError
 
@@ -208,14 +213,19 @@ class Custom(Container):
         with file:
             file.seek(whole.start)
             r = Reader(file, size, whole.int_size)
-            marks, begin = [whole.start], whole.start
+            fine, begin = [whole.start], whole.start
             while n := r.int():
                 if n < 0 or n > size - file.tell():
                     raise DataIntegrity(f"chunk of length {n}")
                 file.seek(n, io.SEEK_CUR)
-                if file.tell() - begin >= SPLIT_BYTES:
-                    marks.append(begin := file.tell())
+                if file.tell() - begin >= min(LEAST_SPLIT, SPLIT_BYTES):
+                    fine.append(begin := file.tell())
             stop = file.tell()
+        wanted = self.split_bytes(stop - whole.start)
+        marks = fine[:1]
+        for at in fine[1:]:
+            if at - marks[-1] >= wanted:
+                marks.append(at)
         ends = [*marks[1:], stop]
         return [replace(whole, number=i, start=a, end=b, stop=stop) for i, (a, b) in enumerate(zip(marks, ends, strict=True))]
 
@@ -262,8 +272,9 @@ class Directory(Container):
         for e in entries:
             if e.filename and e.desc != "BLOBS" and (whole := self._member(e.dump_id, e.filename)):
                 if whole.codec == "none" and whole.end > whole.start:
-                    marks = list(range(whole.start, whole.end, SPLIT_BYTES))
-                    out += [replace(whole, number=i, start=a, end=min(a + SPLIT_BYTES, whole.stop)) for i, a in enumerate(marks)]
+                    step = self.split_bytes(whole.end - whole.start)
+                    marks = list(range(whole.start, whole.end, step))
+                    out += [replace(whole, number=i, start=a, end=min(a + step, whole.stop)) for i, a in enumerate(marks)]
                 else:
                     out.append(whole)
         return out
@@ -293,9 +304,9 @@ class Tar(Directory):
 
     format = "Tar"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cores: int = 1) -> None:
         self.members = members(path)
-        super().__init__(path)
+        super().__init__(path, cores)
 
     def _open(self, name: str):
         return (self.path, *self.members[name]) if name in self.members else None
@@ -348,8 +359,8 @@ def tar_header(name: str, size: int) -> bytes:
     return bytes(block)
 
 
-def open_container(path: str) -> Container:
-    return {"Custom": Custom, "Directory": Directory, "Tar": Tar}[detect(path)](path)
+def open_container(path: str, cores: int = 1) -> Container:
+    return {"Custom": Custom, "Directory": Directory, "Tar": Tar}[detect(path)](path, cores)
 
 
 def entry(toc: Toc, dump_id: int) -> Entry:

@@ -1,7 +1,8 @@
 """``spark.read.format("pgarchive")``: the relations of an archive, read where they lie.
 
 Options: ``relation`` is one of RELATIONS, ``dump_ids`` restricts payloads to some
-entries (a comma-separated list).  Equality and IN filters on dump_id are pushed down
+entries (a comma-separated list), ``cores`` is how many splits a payload should have at
+least if it is large enough.  Equality and IN filters on dump_id are pushed down
 too where the session allows filters on Python sources.  Payloads are relations of
 their own, so that a query that needs none reads none.
 """
@@ -93,8 +94,8 @@ def _grouped(found: list[Split | BlobRef]) -> list[Split | list[BlobRef]]:
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, path: str, relation: str, dump_ids: set[int] | None) -> None:
-        self.path, self.relation, self.dump_ids = path, relation, dump_ids
+    def __init__(self, path: str, relation: str, dump_ids: set[int] | None, cores: int = 1) -> None:
+        self.path, self.relation, self.dump_ids, self.cores = path, relation, dump_ids, cores
 
     def pushFilters(self, filters: list[Filter]):  # noqa: N802
         for f in filters:
@@ -104,7 +105,7 @@ class ArchiveReader(DataSourceReader):
             yield f  # rows are filtered again: an entry is what can be skipped
 
     def partitions(self) -> list[InputPartition]:
-        container = open_container(self.path)
+        container = open_container(self.path, self.cores)
         if self.relation == "archive":
             return [_Part([archive_row(container.toc)])]
         if self.relation == "toc":
@@ -145,7 +146,8 @@ class ArchiveSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         ids = self.options.get("dump_ids")
-        return ArchiveReader(self.options["path"], self.options.get("relation", "toc"), None if ids is None else {int(x) for x in ids.split(",") if x})
+        wanted = None if ids is None else {int(x) for x in ids.split(",") if x}
+        return ArchiveReader(self.options["path"], self.options.get("relation", "toc"), wanted, int(self.options.get("cores", "1")))
 
 
 def register(spark: SparkSession) -> None:

@@ -368,3 +368,16 @@ def test_source_pushes_filters(spark, tmp_path):
     with pytest.raises(Exception, match="no relation"):
         spark.read.format("pgarchive").option("relation", "nothing").load(path).count()
     assert storage.kind(path) == "file" and a.toc().where("computed_section = 'Data'").count() == 2
+
+
+def test_splits_follow_the_cores(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(containers, "LEAST_SPLIT", 100)
+    monkeypatch.setattr("archivelake.plans.builder.CHUNK", 50)
+    text = "".join(f"{i:09}\n" for i in range(1000))
+    for form in ("Custom", "Directory", "Tar"):
+        sample(spark, text).with_format(form).save(spark, path := str(tmp_path / form))
+        for cores, most in ((1, 1), (4, 4), (1000, 100)):
+            c = containers.open_container(path, cores)
+            splits = c.data([e for e in c.toc.entries if e.desc == "TABLE DATA"])
+            assert most // 2 <= len(splits) <= most + 1
+            assert b"".join(x + b"\n" for s in splits for g in containers.lines(s) for x in g).decode() == text
