@@ -67,6 +67,17 @@ def test_perfect_hash_is_minimal_and_rejects_others():
     assert (shard.slots(np.arange(1, 7000, 7)) >= 0).sum() <= 1
 
 
+def test_wide_and_narrow_ids():
+    for most in (65_535, 65_536, 2**32 - 1):
+        ids = [np.array([0, most], "<u4").tobytes(), b"", np.array([7], "<u4").tobytes()]
+        data = tokenstore.build_shard([None, 1, 5], ids)
+        shard = tokenstore.Shard(data)
+        assert [*shard.nulls(), *shard.get(1), *shard.get(5)] == ids and shard.get(6) == []
+        assert shard.ids.itemsize == (2 if most < 65_536 else 4)
+    with pytest.raises(ValueError, match="shard"):
+        tokenstore.Shard(b"x" * 100)
+
+
 def check_packing(rows, encoded, end_id):
     """Every id lies in one piece; sequences are gapless and need little padding."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
