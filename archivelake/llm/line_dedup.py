@@ -3,7 +3,8 @@
 A line (between "\\n"s) of ``min_chars`` code points or more is removed if a line
 that comes earlier, in order of doc_id, a hash of the text, and position, equals
 it or differs from it by one edit: a code point put in, taken out or replaced.
-Lines are judged on the input, not on what is left.
+Lines are judged on the input, not on what is left.  With ``copies``, shorter lines
+that aren't blank are judged as well, for exact copies alone.
 
 Equal lines meet by digest.  For lines one edit apart, let m be the longer
 length.  Cut at multiples of a width w(m), the edit lies in one block; all before
@@ -39,16 +40,18 @@ MIN_CHARS = 20
 LEAST_WIDTH = 64
 #: Rows of (doc_id, hash, position) that may be broadcast: some 32 bytes each.
 MOST_BROADCAST = 500_000
+_NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _occurrences(texts: DataFrame, min_chars: int) -> DataFrame:
+def _occurrences(texts: DataFrame, min_chars: int, copies: bool) -> DataFrame:
     """Every line to be judged of ``texts(doc, tag, text)``: doc, tag, pos, line, id (its digest)."""
     lines = texts.select("doc", "tag", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    return lines.where(F.length("line") >= min_chars).withColumn("id", F.unhex(F.md5("line")))
+    judged = F.length("line") >= min_chars
+    return lines.where(judged | F.col("line").rlike(_NOT_BLANK) if copies else judged).withColumn("id", F.unhex(F.md5("line")))
 
 
 def _meeting_keys(line: Column) -> Column:
@@ -113,12 +116,15 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
-def _removed(texts: DataFrame, min_chars: int) -> DataFrame:
+def _removed(texts: DataFrame, min_chars: int, copies: bool) -> DataFrame:
     """doc, tag and the set ``gone`` of the positions of removed lines, where there are any."""
-    found = _occurrences(texts, min_chars)
+    found = _occurrences(texts, min_chars, copies)
     place = F.struct("doc", "tag", "pos")
+    keys = _meeting_keys(F.col("line"))
+    if copies:  # the edit is for lines of min_chars or more
+        keys = F.when(F.length("line") >= min_chars, keys)
     # One row for each distinct line, without its text; equal lines are combined before the shuffle.
-    keyed = found.select("id", place.alias("place"), _meeting_keys(F.col("line")).alias("keys"))
+    keyed = found.select("id", place.alias("place"), keys.alias("keys"))
     distinct = written(keyed.groupBy("id").agg(F.min("place").alias("first"), F.first("keys").alias("keys")), "lines")
     keys = distinct.select("id", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
@@ -141,20 +147,20 @@ def _kept(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
 
 
-def _judged(flat: DataFrame, doc: str, text: str, min_chars: int) -> DataFrame:
+def _judged(flat: DataFrame, doc: str, text: str, min_chars: int, copies: bool) -> DataFrame:
     """``flat`` with ``kept`` (its text without removed lines) and ``gone``."""
     tag = F.xxhash64(text)
     texts = flat.select(F.col(doc).alias("doc"), tag.alias("tag"), F.col(text).alias("text"))
     # By hash, so that the texts needn't be sorted: a partition's removed positions are few.
-    removed = _removed(texts, min_chars).hint("shuffle_hash")
+    removed = _removed(texts, min_chars, copies).hint("shuffle_hash")
     joined = flat.withColumn("own", tag).join(removed, F.col(doc).eqNullSafe(F.col("doc")) & (F.col("own") == F.col("tag")), "left")
     return joined.withColumn("kept", _kept(F.col(text), F.col("gone")))
 
 
-def judge(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def judge(docs: DataFrame, min_chars: int = MIN_CHARS, copies: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 and ``kept`` (the text that is left) of every document."""
     flat = pick(docs, "doc_id", "text").toDF("c0", "c1")
-    out = _judged(flat, "c0", "c1", min_chars)
+    out = _judged(flat, "c0", "c1", min_chars, copies)
     n = F.when(F.col("c1").isNull(), 0).otherwise(F.size(_lines(F.col("c1"))))
     return out.select(
         F.col("c0").alias("doc_id"),
@@ -165,13 +171,13 @@ def judge(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     )
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, copies: bool = False) -> DataFrame:
     """The documents with all their columns, ``text`` without removed lines and
     ``n_chars``, if there is one, counted anew.  A document that loses lines and has
     no word left is dropped; nothing of it isn't in an earlier one."""
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    out = _judged(flat, f"c{names.index('doc_id')}", f"c{names.index('text')}", min_chars)
-    out = out.where(F.col("gone").isNull() | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    out = _judged(flat, f"c{names.index('doc_id')}", f"c{names.index('text')}", min_chars, copies)
+    out = out.where(F.col("gone").isNull() | F.col("kept").rlike(_NOT_BLANK))
     columns = [F.col("kept") if n == "text" else F.when(F.col("gone").isNull(), F.col(f"c{i}")).otherwise(F.length("kept")) if n == "n_chars" else F.col(f"c{i}") for i, n in enumerate(names)]
     return out.select(*[c.cast(docs.schema.fields[i].dataType).alias(f"c{i}") for i, c in enumerate(columns)]).toDF(*names)

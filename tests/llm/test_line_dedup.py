@@ -80,3 +80,11 @@ def test_dedup_keeps_columns_and_drops_what_is_left_empty(make_docs):
 
 def test_empty_table(make_docs):
     assert line_dedup.judge(make_docs([])).count() == 0 == line_dedup.dedup(make_docs([])).count()
+
+
+def test_copies_of_short_lines(make_docs):
+    long = "a line that is long enough"
+    docs = make_docs([(1, f"Read more\n{long}\n\n ok"), (2, f"Read more\nRead mores\n{long}!\n\n\t\n ok"), (3, "Read more"), (None, "ok\n\t")])
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in line_dedup.judge(docs, copies=True).collect()}
+    assert got == {1: (4, 0, f"Read more\n{long}\n\n ok"), 2: (6, 3, "Read mores\n\n\t"), 3: (1, 1, ""), None: (2, 0, "ok\n\t")}
+    assert {r.doc_id for r in line_dedup.dedup(docs, copies=True).collect()} == {1, 2, None}
