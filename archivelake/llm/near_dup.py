@@ -27,7 +27,7 @@ Nulls: null or wordless texts have an empty set and are linked with nothing.  Nu
 doc_ids take part; a component's id is its smallest doc_id that isn't null, null if
 there is none, and ``kept`` then holds.  Rows that repeat a doc_id are judged alike
 if their texts are equal.  An empty table gives an empty result.  Other columns are
-ignored by ``components`` and kept by ``dedup``.
+ignored by ``components`` and kept by ``dedup``, which decides by row: see there.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ def _digest(values: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n (set size), hi, lo (its digest) and sketch of every document."""
+    """doc_id, tag (hash of the text), n (set size), hi, lo (its digest) and sketch of every document."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,13 +86,15 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 digests = [_digest(s) for s in sets]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column(0),
+                    "tag": part.column(2),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "hi": pa.array([d[0] for d in digests], pa.int64()),
                     "lo": pa.array([d[1] for d in digests], pa.int64()),
                     "sketch": pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64())),
                 })
 
-    return pick(docs, "doc_id", "text").mapInArrow(signed, "doc_id long, n long, hi long, lo long, sketch array<long>")
+    texts = pick(docs, "doc_id", "text")
+    return texts.withColumn("tag", F.xxhash64("text")).mapInArrow(signed, "doc_id long, tag long, n long, hi long, lo long, sketch array<long>")
 
 
 def least_shared(n: Column, percent: int) -> Column:
@@ -234,26 +236,49 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     return found.union(written(rest, "links"))
 
 
-def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, tag, n, root (null for an empty set) and component of every document."""
     signed = written(signatures(docs, n), "signatures")
     grouped = signed.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     roots = connected(links(docs, classes, n, percent))
     rooted = classes.join(roots, F.col("cid") == F.col("node"), "left").select("hi", "lo", "rep", F.coalesce("root", "cid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    known = rooted.join(least, "root").select("hi", "lo", "component")
+    known = rooted.join(least, "root").select("hi", "lo", "root", "component")
     # An empty set has digest (0, 0) and no class.
-    joined = signed.drop("sketch").join(known, ["hi", "lo"], "left")
+    return signed.drop("sketch").join(known, ["hi", "lo"], "left").select("doc_id", "tag", "n", "root", "component")
+
+
+def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    joined = _components(docs, n, percent)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     out = joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def dedup(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, with all their columns, whose doc_id isn't that of a document linked
-    with one of a smaller doc_id: one of each component stays."""
-    gone = components(docs, n, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+def dedup(docs: DataFrame, n: int = 5, percent: int = 80, repeats: bool = True) -> DataFrame:
+    """The documents with all their columns, one of each component: that of the smallest
+    doc_id, null last, then of the smallest hash of its text.  Rows that repeat that
+    document's doc_id and text stay with it if the doc_id isn't null and ``repeats``
+    holds; else one of them stays.  Documents with empty sets all stay."""
+    rows = written(_components(docs, n, percent).where("root is not null").groupBy("root", "doc_id", "tag").agg(F.count("*").alias("copies")), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
+    best = rows.groupBy("root").agg(F.min(order).alias("best"))
+    judged = rows.join(best, "root").withColumn("one", order == F.col("best"))
+    single = F.col("doc_id").isNull() if repeats else F.lit(True)
+    # Rows that go, and those of which one is put back.
+    out = judged.where(~F.col("one") | (F.col("copies") > 1) & single)
+    out = written(out.select(F.col("doc_id").alias("gone"), F.col("tag").alias("gone_tag"), F.col("one").alias("back")), "gone")
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    return flat.join(gone, F.col(f"c{names.index('doc_id')}").eqNullSafe(F.col("gone")), "left_anti").toDF(*names)
+    doc, tag = F.col(f"c{names.index('doc_id')}"), F.xxhash64(f"c{names.index('text')}")
+    same = doc.eqNullSafe(F.col("gone")) & (tag == F.col("gone_tag"))
+    left = flat.join(out, same, "left_anti")
+    back = out.where("back")
+    if not back.isEmpty():
+        # Copies are combined before the shuffle, so a document of very many is no burden.
+        hashed = F.xxhash64(*[f.name for f in flat.schema.fields if "map<" not in f.dataType.simpleString()])
+        copies = flat.join(back, same).select("gone", "gone_tag", hashed.alias("hash"), F.struct(*flat.columns).alias("row"))
+        left = left.union(copies.groupBy("gone", "gone_tag").agg(F.min_by("row", "hash").alias("row")).select("row.*"))
+    return left.toDF(*names)

@@ -85,3 +85,17 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(i, 7) for i in range(8, 30)] + [(7, 7)]
     got = {(r.node, r.root) for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(i, 100) for i in range(101, 161)} | {(i, 7) for i in range(8, 30)}
+
+
+def test_dedup_decides_by_row(make_docs):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(None, a), (None, a), (None, a + " more"), (None, "p q r s t u"), (None, None), (None, None)]  # a group without ids
+    rows += [(4, b), (None, b), (5, b), (5, "an unrelated text of an id that goes once")]  # linked with ids
+    rows += [(7, c), (7, c + " more"), (7, "x y z"), (8, d), (8, d)]
+
+    def left(**how):
+        return sorted((str(r.doc_id), (r.text or "")[:12]) for r in near_dup.dedup(make_docs(rows, extra=True), **how).collect())
+
+    one = [("4", b[:12]), ("5", "an unrelated"), ("7", c[:12]), ("7", "x y z"), ("8", d[:12]), ("None", ""), ("None", ""), ("None", a[:12]), ("None", "p q r s t u")]
+    assert left(repeats=False) == sorted(one)
+    assert left() == sorted([*one, ("8", d[:12])])  # rows that repeat doc_id and text
