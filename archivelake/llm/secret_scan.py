@@ -2,7 +2,9 @@
 
 The text of a document is the first layer.  Each layer is searched for secrets
 and for encoded segments: percent escapes, Unicode escapes, base64 runs, and
-compressed bytes inside those.  Every segment that decodes becomes a layer of
+compressed bytes at any place inside those.  A base64 run goes on over line breaks
+and is decoded from each of its first four characters, so what is glued to its front
+does no harm; bytes that aren't UTF-8 are searched as Latin-1.  Every segment that decodes becomes a layer of
 its own on the worklist, until no layer is left; a layer whose content equals
 one that it came from is a cycle and is dropped.  Each character of a layer
 carries the span of the document that it came from, so that findings in any
@@ -21,7 +23,6 @@ holds more is itself reported, with kind "bomb".
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import pick
-from .textkernel import LOWER, Words, slices
+from .textkernel import LOWER, slices, texts_of
 
 MOST_LAYER = 16 << 20
 LEAST_BASE64 = 16
@@ -45,6 +46,7 @@ KINDS = ["assign", "access", "hex"]
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
+_HEX_BYTES = re.compile(_HEX.pattern.encode())
 _KEYWORDS = [b"passw", b"secret", b"token", b"apikey", b"api_key"]
 
 _PERCENT = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
@@ -52,8 +54,19 @@ _PERCENT_UNIT = re.compile(r"((?:%[0-9A-Fa-f]{2})+)")
 _ESCAPE = r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
 _ESCAPES = re.compile(rf"[^\s\\&]*(?:(?:{_ESCAPE})[^\s\\&]*)+")
 _ESCAPE_UNIT = re.compile(f"({_ESCAPE})")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_BASE64)
+_DIGITS = r"[A-Za-z0-9+/_-]"
+_BREAK = r"[\x20\t]*\r?\n[\x20\t]*"
+#: Digits over several lines, or LEAST_BASE64 of them on one.
+_BASE64 = re.compile(rf"(?<!{_DIGITS})(?:{_DIGITS}++(?:{_BREAK}{_DIGITS}++)++|{_DIGITS}{{{LEAST_BASE64},}}+)={{0,2}}")
 _BASE64_BYTES = re.compile(_BASE64.pattern.encode())
+_BASE64_LINE = re.compile(rf"{_DIGITS}+={{0,2}}")
+_STANDARD = bytes.maketrans(b"-_", b"+/")
+#: How compressed streams begin.
+_STREAM = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+#: Without one of these, bytes hold no secret and no segment that decodes.
+_MARKS = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|%[0-9A-Fa-f]{2}|\\|&#|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]|" + _STREAM.pattern)
+_SHORT = {"n": 10, "t": 9, "r": 13, "0": 0, "a": 7, "b": 8, "f": 12, "v": 11, "\\": 92, "'": 39, '"': 34}
+_BYTE_UNITS = {"url": _PERCENT_UNIT, "esc": re.compile(rf"({_ESCAPE}|\\[ntr0abfv\\'\"])")}
 
 Spans = list[tuple[str, int, int]]
 
@@ -70,25 +83,27 @@ class _Bomb(Exception):
     """Compressed bytes hold more than ``MOST_LAYER``."""
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """What compressed bytes hold; None if they aren't compressed in a known way."""
+def _inflate(data: bytes | memoryview) -> tuple[bytes, int, bool] | None:
+    """What compressed bytes hold, how many of them, and whether the stream's end is there; None if
+    they aren't compressed in a known way."""
+    sign = bytes(data[:6])
     try:
-        if data[:2] == b"\x1f\x8b":
+        if sign[:2] == b"\x1f\x8b":
             tool = zlib.decompressobj(31)
-        elif len(data) > 2 and data[0] == 0x78 and data[1] in (0x01, 0x5E, 0x9C, 0xDA):
+        elif len(data) > 2 and sign[0] == 0x78 and sign[1] in (0x01, 0x5E, 0x9C, 0xDA):
             tool = zlib.decompressobj()
-        elif data[:3] == b"BZh":
+        elif sign[:3] == b"BZh":
             tool = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
+        elif sign == b"\xfd7zXZ\x00":
             tool = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
+        elif sign[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
             with zstandard.ZstdDecompressor().stream_reader(data) as r:
                 out = r.read(MOST_LAYER + 1)
             if len(out) > MOST_LAYER:
                 raise _Bomb
-            return out
+            return out, len(data), False
         else:
             return None
         out = tool.decompress(data, MOST_LAYER + 1)
@@ -98,42 +113,59 @@ def _inflate(data: bytes) -> bytes | None:
         return None
     if len(out) > MOST_LAYER:
         raise _Bomb
-    return out
+    return out, len(data) - len(tool.unused_data), tool.eof
 
 
-def _readable(data: bytes) -> str | None:
-    """Bytes as text if they are UTF-8 and nearly all printable."""
+def _text(data: bytes) -> str:
+    """Bytes as UTF-8 if they are that, else as Latin-1."""
     try:
-        text = data.decode()
+        return data.decode()
     except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text)
-    return text if text and 10 * odd <= len(text) else None
+        return data.decode("latin-1")
 
 
-def _unpack(data: bytes) -> tuple[str, str] | None:
-    """(names of the layers, text) of bytes that are text or compressed text, compressed any number of times."""
-    names, seen = "", {hashlib.sha256(data).digest()}
-    while (inner := _inflate(data)) is not None:
-        digest = hashlib.sha256(inner).digest()
-        if digest in seen:
-            return None
-        seen.add(digest)
-        data, names = inner, names + "zip/"
-    if names:
-        return names, data.decode("utf-8", "replace")
-    text = _readable(data)
-    return None if text is None else (names, text)
+def _streams(data: bytes) -> Iterator[tuple[str, str, int, int]]:
+    """(names of the layers, text, start, end) of the compressed streams in bytes, each
+    compressed any number of times; "bomb" and no text for one that holds too much."""
+    end = 0
+    for m in _STREAM.finditer(data):
+        at = m.start()
+        if at < end:
+            continue
+        names, now, size, whole, seen = "", memoryview(data)[at:], 0, False, set()
+        try:
+            while (found := _inflate(now)) is not None:
+                if not names:
+                    _, size, whole = found
+                now = found[0]
+                digest = hashlib.sha256(now).digest()
+                if digest in seen:
+                    break
+                seen.add(digest)
+                names += "zip/"
+        except _Bomb:
+            yield "bomb", "", at, at + size if size else len(data)
+            end = at + size if whole else end
+            continue
+        if names and len(now) and found is None:
+            yield names.rstrip("/"), _text(bytes(now)), at, at + size
+            end = at + size if whole else end  # what isn't whole may be no stream at all
 
 
-def _from_base64(run: bytes) -> bytes | None:
-    body = run.rstrip(b"=")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body.translate(bytes.maketrans(b"-_", b"+/")) + b"=" * (-len(body) % 4))
-    except binascii.Error:
-        return None
+def _from_base64(run: bytes) -> Iterator[tuple[int, bytes]]:
+    """What base64 digits decode to from each of the first four, where that holds any mark."""
+    body = run.translate(_STANDARD)
+    for at in range(min(4, len(body))):
+        part = body[at:]
+        if len(part) % 4 == 1:
+            part = part[:-1]
+        data = binascii.a2b_base64(part + b"=" * (-len(part) % 4))
+        if _MARKS.search(data):
+            yield at, data
+
+
+def _digits(run: bytes) -> bytes:
+    return run.translate(None, b" \t\r\n=")
 
 
 def _units(unit: re.Pattern, segment: str, decode) -> list[tuple[str, int, int]]:
@@ -160,6 +192,39 @@ def _escape(part: str) -> str:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
 
 
+def _unescaped(kind: str, text: str) -> tuple[bytes, list[int], list[int]]:
+    """A layer as bytes with its escapes undone, and where in the layer each byte begins and ends."""
+    out, starts, ends, at = bytearray(), [], [], 0
+
+    def put(data: bytes, a: int, b: int) -> None:
+        out.extend(data)
+        starts.extend([a] * len(data))
+        ends.extend([b] * len(data))
+
+    def plain(a: int, b: int) -> None:
+        if text[a:b].isascii():
+            out.extend(text[a:b].encode())
+            starts.extend(range(a, b))
+            ends.extend(range(a + 1, b + 1))
+        else:
+            for i in range(a, b):
+                put(text[i].encode("utf-8", "replace"), i, i + 1)
+
+    for m in _BYTE_UNITS[kind].finditer(text):
+        plain(at, m.start())
+        at = m.end()
+        if kind == "url":
+            for i in range(m.start(), at, 3):
+                put(bytes.fromhex(text[i + 1 : i + 3]), i, i + 3)
+        elif len(m[0]) == 2:
+            put(bytes([_SHORT[m[0][1]]]), m.start(), at)
+        else:
+            c = _escape(m[0])
+            put(c.encode("latin-1") if c < "\u0100" else c.encode(), m.start(), at)
+    plain(at, len(text))
+    return bytes(out), starts, ends
+
+
 def _layers(text: str) -> Iterator[tuple[str, str, list[int], list[int]]]:
     """(name, text, starts, ends) of what the segments of a layer decode to; spans are positions in the layer."""
     for name, sign, whole, unit, decode in (("url", "%", _PERCENT, _PERCENT_UNIT, _percent), ("esc", "", _ESCAPES, _ESCAPE_UNIT, _escape)):
@@ -172,18 +237,39 @@ def _layers(text: str) -> Iterator[tuple[str, str, list[int], list[int]]]:
                 starts += [m.start() + a] * len(part)
                 ends += [m.start() + b] * len(part)
             yield name, "".join(chars), starts, ends
+        if unit.search(text):
+            data, starts, ends = _unescaped(name, text)
+            for names, inner, a, b in _streams(data):
+                n = max(len(inner), 1)
+                yield "bomb" if names == "bomb" else f"{name}/{names}", inner, [starts[a]] * n, [ends[b - 1]] * n
     for m in _BASE64.finditer(text):
-        data = _from_base64(m[0].encode())
-        if data is None:
-            continue
-        try:
-            inner = _unpack(data)
-        except _Bomb:
-            yield "bomb", "", [m.start()], [m.end()]
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in _BASE64_LINE.finditer(m[0])]
+        run = _digits(m[0].encode())
+        if len(run) < LEAST_BASE64:
             continue
-        if inner is not None:
-            n = len(inner[1])
-            yield f"b64/{inner[0]}".rstrip("/"), inner[1], [m.start()] * n, [m.end()] * n
+        # The line of each digit, where there are several: a span covers the whole lines that it touches.
+        of = None if len(lines) == 1 else [i for i, (a, b) in enumerate(lines) for _ in text[a:b].rstrip("=")]
+
+        def place(first: int, last: int, at: int) -> tuple[int, int]:
+            """The span of the bytes from ``first`` to ``last`` of what is decoded from digit ``at`` on."""
+            if of is None:
+                return lines[0]
+            return lines[of[at + first * 4 // 3]][0], lines[of[min(at + last * 4 // 3 + 1, len(of) - 1)]][1]
+
+        for at, data in _from_base64(run):
+            for names, inner, a, b in _streams(data):
+                n, span = max(len(inner), 1), place(a, b - 1, at)
+                yield "bomb" if names == "bomb" else f"b64/{names}", inner, [span[0]] * n, [span[1]] * n
+            inner = _text(data)
+            if of is None:
+                yield "b64", inner, [lines[0][0]] * len(inner), [lines[0][1]] * len(inner)
+                continue
+            sizes = [1] * len(inner) if len(inner) == len(data) else [len(c.encode()) for c in inner]
+            spans, i = [], 0
+            for size in sizes:
+                spans.append(place(i, i + size - 1, at))
+                i += size
+            yield "b64", inner, [x for x, _ in spans], [x for _, x in spans]
 
 
 def all_spans(text: str) -> tuple[Spans, Spans]:
@@ -223,25 +309,18 @@ def joined(spans: Spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def _hidden(word: bytes) -> bool:
-    """Whether a long word holds a hex secret or a base64 run that decodes."""
-    if len(word) >= 32 and _HEX.search(word.decode("utf-8", "replace")):
-        return True
-    for m in _BASE64_BYTES.finditer(word):
-        data = _from_base64(m[0])
-        if data is not None:
-            try:
-                if _unpack(data) is not None:
-                    return True
-            except _Bomb:
-                return True
+def _hidden(text: bytes) -> bool:
+    """Whether a text holds a hex secret or a base64 run that decodes to anything with a mark."""
+    for m in _BASE64_BYTES.finditer(text):
+        run = _digits(m[0])
+        if len(run) >= LEAST_BASE64 and (_HEX_BYTES.search(m[0]) or next(_from_base64(run), None)):
+            return True
     return False
 
 
 def suspects(column: pa.Array) -> np.ndarray:
     """Which texts of a column may hold secrets; no other text has any span."""
-    words = Words(column)
-    raw, offsets = words.raw, words.offsets
+    raw, offsets = texts_of(column)
     out = np.zeros(len(offsets) - 1, bool)
     plain, low = raw.tobytes(), LOWER[raw].tobytes()
 
@@ -255,11 +334,8 @@ def suspects(column: pa.Array) -> np.ndarray:
                 places.append(at)
                 at = data.find(sign, at + 1)
             mark(places)
-    long = np.flatnonzero(words.end - words.start >= LEAST_BASE64)
-    long = long[~out[words.doc[long]]]
-    for d, a, b in zip(words.doc[long].tolist(), words.start[long].tolist(), words.end[long].tolist(), strict=True):
-        if not out[d] and _hidden(plain[a:b]):
-            out[d] = True
+    for d in np.flatnonzero(~out).tolist():
+        out[d] = _hidden(plain[offsets[d] : offsets[d + 1]])
     return out
 
 

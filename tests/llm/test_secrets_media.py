@@ -71,6 +71,46 @@ def test_bomb_and_cycles():
     assert kinds("aaaaaaaaaaaaaaaaaaaaaaaa " * 50) == []
 
 
+def wrapped(data, width, end="\n"):
+    text = base64.b64encode(data).decode()
+    return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def test_compressed_bytes_in_escapes():
+    for data in (gzip.compress(SECRET.encode(), mtime=0), zlib.compress(SECRET.encode())):
+        forms = [quote(data, safe=""), "".join(f"%{b:02x}" for b in data), "".join(f"\\x{b:02x}" for b in data), repr(data), "".join(f"&#{b};" for b in data)]
+        for form in forms:
+            text = f"né data={form} rest of it"
+            assert kinds(text) == [("url" if form[0] in "x%" and "%" in form else "esc") + "/zip/assign"], form
+            a, b = secret_scan.all_spans(text)[1][0][1:]
+            assert a <= 8 + (form[0] == "b") * 2 and b >= text.index(" rest") - 4
+            assert secret_scan.suspects(pa.array([text])).all()
+
+
+def test_base64_over_lines():
+    long = b"nothing to see here, " * 7 + SECRET.encode() + b" and more of the same, on and on" * 3
+    for width, end in ((64, "\n"), (76, "\r\n"), (8, "\n  ")):
+        for data, kind in ((long, "b64/assign"), (gzip.compress(long + bytes(range(256)), mtime=0), "b64/zip/assign")):
+            text = f"begin:\n\n{wrapped(data, width, end)}\n\nend."
+            assert kinds(text) == [kind] and secret_scan.suspects(pa.array(["", text]))[1]
+            _, a, b = secret_scan.all_spans(text)[1][0]
+            assert 0 < a < b < len(text)
+            if kind == "b64/assign":  # the lines that hold it, no others
+                assert b - a <= 3 * (width + len(end)) + 40
+                assert SECRET.encode() not in base64.b64decode((text[8:a] + text[b:-6]).replace("=", "") + "==" * 2)
+
+
+def test_base64_glued_and_bytes_that_are_not_text():
+    raw = b"\xff\xfe\x80 " + SECRET.encode() + b" \xff"
+    packed = gzip.compress(SECRET.encode(), mtime=0)
+    for front in ("", "/", "com/path/", "ab", "word", "x-y_z"):
+        for data in (SECRET.encode(), raw, packed):
+            text = f"see {front}{base64.b64encode(data).decode()} end"
+            assert kinds(text) == ["b64/zip/assign" if data is packed else "b64/assign"], text
+            assert secret_scan.suspects(pa.array([text])).all()
+    assert kinds("a plain text with internationalisation\nand uncharacteristically-long words/paths/of/all/kinds") == []
+
+
 def test_scan_query(spark, sf_dir, texts):
     rows = queries.op7_secret_scan(spark, sf_dir).collect()
     assert len(rows) == len(texts)
