@@ -3,7 +3,8 @@
 Words are runs without ASCII white space; rolling hashes of all windows of
 several lengths are computed in numpy for a run of texts at once, windows whose
 hash occurs twice or more in their text are marked, and the characters of the
-words they cover are summed.  Lines are hashed the same way.
+words they cover are summed.  Lines are hashed as a whole.  Windows and lines of one
+hash are compared byte by byte; a text in which two differ is measured plainly.
 
 A text fails if
 
@@ -16,12 +17,14 @@ A text fails if
 * it has more than ``SYMBOL_PERCENT`` symbols for each hundred word characters.
 
 Nulls: a null text has no words and fails; a null doc_id is kept.  An empty text
-fails.  Repeated rows are judged each by itself.  An empty table gives an empty
-result.  Other columns are ignored.
+fails.  Repeated rows are judged each by itself.  A very long text is measured whole,
+in some fifty times its size of memory.  An empty table gives an empty
+result.  Other columns are ignored by ``score`` and kept by ``keep``.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import pick
-from .textkernel import Words, covered, ranges, repeated, slices, window_hashes
+from .textkernel import Rolling, Words, covered, ranges, same_ranges, same_words, slices, twins
 
 LEAST_WORDS = 10
 REPEAT_PERCENT = 20
@@ -52,50 +55,80 @@ def _per_text(words: Words, values: np.ndarray) -> np.ndarray:
     return total[words.first[1:]] - total[words.first[:-1]]
 
 
-def _later_lines(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, end word) of lines with a word that equal an earlier line of their text."""
-    raw, offsets = words.raw, words.offsets
-    feeds = np.flatnonzero(raw == 10)
-    begin = np.sort(np.concatenate([offsets[:-1], feeds + 1]), kind="stable")
-    stop = np.sort(np.concatenate([offsets[1:], feeds]), kind="stable")
+def _lines(words: Words) -> tuple[np.ndarray, ...]:
+    """(begin, end, first word, end word) of the lines with a word."""
+    feeds = np.flatnonzero(words.raw == 10)
+    begin = np.sort(np.concatenate([words.offsets[:-1], feeds + 1]), kind="stable")
+    stop = np.sort(np.concatenate([words.offsets[1:], feeds]), kind="stable")
     full = begin < stop
     begin, stop = begin[full], stop[full]
     a, b = np.searchsorted(words.start, begin), np.searchsorted(words.start, stop)
     real = a < b
-    begin, stop, a, b = begin[real], stop[real], a[real], b[real]
-    if not len(begin):
-        return a, a, b
-    doc = words.doc[a]
-    key = ranges(raw, begin, stop)
-    order = np.lexsort((np.arange(len(key)), key, doc))
-    same = (key[order[1:]] == key[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
-    later = np.sort(order[1:][same])
-    return doc[later], a[later], b[later]
+    return begin[real], stop[real], a[real], b[real]
 
 
 def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     """MEASURES of each text of a string column."""
     words = Words(texts)
     n = len(words.first) - 1
-    chars, hashes = words.chars(), words.hashes()
+    chars = words.chars()
+    rolling = Rolling(words.hashes())
+    wrong = np.zeros(n, bool)  # texts in which equal hashes stand for different bytes
     out = {"n_words": np.diff(words.first), "word_chars": _per_text(words, chars)}
     marks = np.concatenate([[0], np.cumsum(_SYMBOL[words.raw])])
     out["n_symbols"] = marks[words.offsets[1:]] - marks[words.offsets[:-1]]
-    doc, a, b = _later_lines(words)
-    out["n_dup_lines"] = np.bincount(doc, minlength=n).astype(np.int64)
+
+    begin, stop, a, b = _lines(words)
+    doc = words.doc[a]
+    one, two = twins(doc, ranges(words.raw, begin, stop))
+    wrong[doc[one[~same_ranges(words.raw, begin[one], stop[one], begin[two], stop[two])]]] = True
+    out["n_dup_lines"] = np.bincount(doc[two], minlength=n).astype(np.int64)
+    heads = np.concatenate([[0], np.cumsum(chars)])
+    line_chars = np.bincount(doc[two], (heads[b] - heads[a])[two], minlength=n).astype(np.int64)
 
     def inside(size: int) -> np.ndarray:
         at = words.windows(size)
-        return covered(len(words), at[repeated(words.doc[at], window_hashes(hashes, at, size))], size)
+        one, two = twins(words.doc[at], rolling.windows(at, size))
+        wrong[words.doc[at[one[~same_words(words, at[one], at[two], size)]]]] = True
+        return covered(len(words), at[np.union1d(one, two)], size)
 
     out["n_repeat_words"] = _per_text(words, inside(REPEAT_WINDOW))
     for size in GRAM_PERCENT:
         out[f"gram{size}_chars"] = _per_text(words, np.where(inside(size), chars, 0))
-    heads = np.concatenate([[0], np.cumsum(chars)])
-    out["dup_line_chars"] = np.bincount(doc, heads[b] - heads[a], minlength=n).astype(np.int64)
+    out["dup_line_chars"] = line_chars
+    for i in np.flatnonzero(wrong).tolist():
+        for name, value in plainly(texts[i].as_py()).items():
+            out[name][i] = value
     return out
 
 
+def plainly(text: str) -> dict[str, int]:
+    """MEASURES of one text without hashes of ours, for texts in which hashes collide."""
+    words = [w for line in text.split("\n") for w in line.encode().split()]
+    sizes = [len(w.decode()) for w in words]
+
+    def inside(size: int) -> list[bool]:
+        grams = [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
+        count = Counter(grams)
+        hit = np.zeros(len(words), bool)
+        for i, g in enumerate(grams):
+            if count[g] > 1:
+                hit[i : i + size] = True
+        return hit.tolist()
+
+    seen: set[str] = set()
+    dups = dup_chars = 0
+    for line in text.split("\n"):
+        own = line.encode().split()
+        if own and line in seen:
+            dups += 1
+            dup_chars += sum(len(w.decode()) for w in own)
+        seen.add(line)
+    out = {"n_words": len(words), "word_chars": sum(sizes), "n_symbols": sum(text.count(c) for c in "#*$%&|<>"), "n_dup_lines": dups, "n_repeat_words": sum(inside(REPEAT_WINDOW))}
+    out |= {f"gram{size}_chars": sum(n for n, hit in zip(sizes, inside(size), strict=True) if hit) for size in GRAM_PERCENT}
+    return out | {"dup_line_chars": dup_chars}
+
+
 def verdicts(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(base_failed, kept) of measured texts."""
     failed = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > REPEAT_PERCENT * m["n_words"])

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pick, written
-from .textkernel import Words, covered, mix, ranges, repeated, slices, window_hashes
+from .textkernel import Words, covered, mix, slices, window_hashes
 
 WINDOW = 35
 GRAM = 8
@@ -184,8 +184,7 @@ def _suspect_windows(part: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...
         salt = mix(np.arange(1, part.num_rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         hot = np.isin(prints + salt[doc], hits + salt[owner])
     starts, doc = starts[hot], doc[hot]
-    second = mix(ranges(words.raw ^ np.uint8(0xA5), words.start, words.end) + np.uint64(1))
-    return doc, starts - words.first[doc], window_hashes(hashes, starts, window), window_hashes(second, starts, window)
+    return doc, starts - words.first[doc], window_hashes(hashes, starts, window), window_hashes(words.hashes(1), starts, window, 1)
 
 
 def _suspects(rows: DataFrame, window: int) -> DataFrame:
