@@ -7,10 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are maximal runs of anything but these six bytes (space, \t \n \v \f \r).
-WORD_SPLIT = r"[\x20\x09-\x0D]+"
-
-
 #: Rows of a batch that goes to Python, where the session keeps Spark's default of 10,000: whole
 #: texts are kilobytes each, and batches take memory beside the heap.
 BATCH_ROWS = 2_000
@@ -53,7 +49,9 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     tests, the warehouse folder of the session is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    _LEFT.append(("path", path))
+    return path
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -61,3 +59,26 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: What operators of this process have written beside their results: (kind, name).
+_LEFT: list[tuple[str, str]] = []
+
+
+def fresh_table(what: str) -> str:
+    """A name for a new table of the warehouse."""
+    name = f"{what}_{uuid.uuid4().hex}"
+    _LEFT.append(("table", name))
+    return name
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what operators have written beside their results, which read it: call it
+    when these have been written or collected."""
+    while _LEFT:
+        kind, name = _LEFT.pop()
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -1,10 +1,13 @@
 """Byte-level BPE against the tiktoken library."""
 
 import hashlib
+import random
 import struct
 
+import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 
 from archivelake.llm import bpe, queries
@@ -28,14 +31,14 @@ def test_query(spark, sf_dir, texts, library):
     assert got == {want(library, k, t) for k, t in texts.items()}
 
 
-@pytest.mark.parametrize("cached", [0, 5])
-def test_odd_texts_nulls_and_ties(make_docs, library, cached):
+@pytest.mark.parametrize("sizes", [(), (1, 3)])
+def test_odd_texts_nulls_and_ties(make_docs, library, sizes):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "null key"), (3, "again"), (3, "again")]
-    got = bpe.encode(make_docs(rows, extra=True), PATH, P.PATTERN, cached_words=cached).collect()
+    got = bpe.encode(make_docs(rows, extra=True), PATH, P.PATTERN, *sizes).collect()
     assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256, str(r.doc_id)) for r in got) == sorted((n, a, b, str(k)) for k, n, a, b in (want(library, k, t) for k, t in rows))
     for r in got:
         if r.doc_id is not None and r.doc_id != 3:
-            assert r.ids == library.encode_ordinary(ODD[r.doc_id] or "")
+            assert list(struct.unpack(f"<{r.n_tokens}I", r.ids)) == library.encode_ordinary(ODD[r.doc_id] or "")
 
 
 def test_empty_table(make_docs):
@@ -46,3 +49,24 @@ def test_heap_equals_the_library(library):
     ranks = bpe.load_ranks(PATH)
     for word in ["a" * 999, "ab" * 600, "thereinthething" * 50, "x", "ß" * 333, "abcab" * 41]:
         assert bpe.merge(word.encode(), ranks) == library.encode_ordinary(word)
+
+
+def split(texts, pattern=P.PATTERN):
+    raw, start, end, count = bpe._word_ranges(texts, pattern)
+    words = iter([bytes(raw[a:b]).decode() for a, b in zip(start, end, strict=True)])
+    return [[next(words) for _ in range(n)] for n in count.tolist()]
+
+
+def test_words_are_the_matches_of_the_pattern():
+    find, rng = regex.compile(P.PATTERN).findall, random.Random(4)
+    letters = "  '''strvemld \n\t\xa0aé1٣!?#日 ½\x85\x1c"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(9))) for _ in range(20_000)]
+    texts += [f"a{c}b{c}{c} {c}'s{c}" for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and (ord(c) < 0x3100 or ord(c) % 53 == 0)]
+    assert split(texts) == [find(t) for t in texts]
+    assert split(["ab  c", "", "d"], r"\S+|\s+") == [["ab", "  ", "c"], [], ["d"]]
+
+
+def test_words_of_one_hash_are_an_error_not_a_mistake():
+    raw = np.frombuffer(b"onetwo", np.uint8)
+    with pytest.raises(ValueError, match="one hash"):
+        bpe.Words.distinct(np.array([7, 7], np.uint64), np.array([0, 3]), np.array([3, 6]), raw)
