@@ -45,7 +45,7 @@ from .textkernel import ranges, same_ranges, slices
 RANK_BUCKETS = 1 << 16
 LONG_WORD = 256
 _SPAN = 1 << 12  # more than LONG_WORD
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 PART_WORDS = 1 << 18
 #: The pattern whose matches ``class_words`` finds by classes of characters (fixed value).
 CLASS_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -399,7 +399,7 @@ def _pieces(vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([len(p) for p in pieces])
 
 
-def _coded(vocabulary: str):
+def _coded(vocabulary: str, with_ids: bool):
     """Function of a block's row and its rows of ids: the result of ``encode`` for its texts."""
 
     def coded(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -414,15 +414,15 @@ def _coded(vocabulary: str):
             _, ids = _concatenated(word_ids, word_ends, often[sequence[at : at + n]])
             _, text = _concatenated(raw, ends, ids)
             at += n
-            rows.append((doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.tobytes()).hexdigest(), ids.tobytes()))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+            rows.append((doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.tobytes()).hexdigest(), ids.tobytes())[: 4 + with_ids])
+        kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.binary()} if with_ids else {})
+        return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
 
     return coded
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, block_bytes: int = BLOCK_BYTES, part_words: int = PART_WORDS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every document.
+def encode(docs: DataFrame, vocabulary: str, pattern: str, block_bytes: int = BLOCK_BYTES, part_words: int = PART_WORDS, with_ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``with_ids``, ids of every document.
 
     ids are little-endian unsigned 32-bit integers, ids_sha256 is over them and
     decoded_sha256 over the bytes that decoding them gives.  The table of blocks stays in
@@ -436,5 +436,5 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, block_bytes: int = BL
     parts = max(1, -(-(table.agg(F.sum("n_words")).first()[0] or 0) // part_words))
     listed = _parts(table, parts).repartition(parts, "part").groupBy("part").applyInArrow(_listed, "part long, block long, word binary, numbers binary")
     ids = _folded(listed, vocabulary)
-    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
-    return table.select("block", "doc_ids", "texts").groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_coded(vocabulary), kinds)
+    kinds = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    return table.select("block", "doc_ids", "texts").groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_coded(vocabulary, with_ids), kinds)
