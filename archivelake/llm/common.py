@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def place(names: list[str], name: str) -> int:
+    """Which column ``name`` is: the first of exactly that name, else the first that differs in case."""
+    found = [i for i, h in enumerate(names) if h == name] or [i for i, h in enumerate(names) if h.lower() == name.lower()]
+    if not found:
+        raise ValueError(f"no column {name!r} among {names}")
+    return found[0]
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Exactly the columns ``names``, whatever else ``df`` has.
 
@@ -33,13 +41,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     """
     have = df.columns
     flat = df.toDF(*[f"c{i}" for i in range(len(have))])
-    out = []
-    for n in names:
-        found = [i for i, h in enumerate(have) if h == n] or [i for i, h in enumerate(have) if h.lower() == n.lower()]
-        if not found:
-            raise ValueError(f"no column {n!r} among {have}")
-        out.append(F.col(f"c{found[0]}").alias(n))
-    return flat.select(*out)
+    return flat.select(*[F.col(f"c{place(have, n)}").alias(n) for n in names])
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import pick, place
 from .textkernel import Rolling, Words, covered, ranges, same_ranges, same_words, slices, twins
 
 LEAST_WORDS = 10
@@ -157,7 +157,7 @@ def score(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns, in one pass without a shuffle."""
-    at = docs.columns.index("text")
+    at = place(docs.columns, "text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

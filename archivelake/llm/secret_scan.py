@@ -4,11 +4,12 @@ The text of a document is the first layer.  Each layer is searched for secrets
 and for encoded segments: percent escapes, Unicode escapes, base64 runs, and
 compressed bytes at any place inside those.  A base64 run goes on over line breaks
 and is decoded from each of its first four characters, so what is glued to its front
-does no harm; bytes that aren't UTF-8 are searched as Latin-1.  Every segment that decodes becomes a layer of
-its own on the worklist, until no layer is left; a layer whose content equals
-one that it came from is a cycle and is dropped.  Each character of a layer
-carries the span of the document that it came from, so that findings in any
-layer are reported as spans of the document.
+does no harm; bytes that aren't UTF-8 are searched as Latin-1.  Compressed bytes are
+read to their end, all members of a stream, however often they are compressed.  Every
+segment that decodes becomes a layer of its own on the worklist, until no layer is left;
+a layer whose content equals one that it came from is a cycle and is dropped.  Each
+character of a layer carries the span of the document that it came from, so that findings
+in any layer are reported as spans of the document.
 
 A numpy pass over whole batches first sets aside the texts that hold none of the
 marks without which nothing can be found; the others go through the worklist.
@@ -17,8 +18,11 @@ Nulls: a null text counts as empty, a null doc_id is kept.  An empty text has no
 spans.  Repeated rows are scanned each by itself.  An empty table gives an empty
 result.  Other columns are ignored by ``scan`` and kept by ``redact``.
 
-What a layer decompresses to is read up to ``MOST_LAYER`` bytes; a segment that
-holds more is itself reported, with kind "bomb".
+A very long text is searched whole, as is what compressed bytes hold: beyond ``MOST_LAYER``
+bytes that comes in windows of this size, which overlap by ``OVERLAP``, so that memory is
+bounded; all of them stand for the whole segment, which is reported with kind "bomb" too.
+Only an encoded segment that is itself longer than the overlap and inside such a layer is
+decoded window by window.
 """
 
 from __future__ import annotations
@@ -36,10 +40,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import pick, place
 from .textkernel import LOWER, slices, texts_of
 
 MOST_LAYER = 16 << 20
+OVERLAP = 1 << 20
+_FEED = 1 << 16
 LEAST_BASE64 = 16
 KINDS = ["assign", "access", "hex"]
 
@@ -49,10 +55,9 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _HEX_BYTES = re.compile(_HEX.pattern.encode())
 _KEYWORDS = [b"passw", b"secret", b"token", b"apikey", b"api_key"]
 
-_PERCENT = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
+_RUN = re.compile(r"\S+")
 _PERCENT_UNIT = re.compile(r"((?:%[0-9A-Fa-f]{2})+)")
-_ESCAPE = r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
-_ESCAPES = re.compile(rf"[^\s\\&]*(?:(?:{_ESCAPE})[^\s\\&]*)+")
+_ESCAPE = r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
 _ESCAPE_UNIT = re.compile(f"({_ESCAPE})")
 _DIGITS = r"[A-Za-z0-9+/_-]"
 _BREAK = r"[\x20\t]*\r?\n[\x20\t]*"
@@ -63,6 +68,7 @@ _BASE64_LINE = re.compile(rf"{_DIGITS}+={{0,2}}")
 _STANDARD = bytes.maketrans(b"-_", b"+/")
 #: How compressed streams begin.
 _STREAM = re.compile(rb"\x1f\x8b|\x78[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_LONGEST_SIGN = 6
 #: Without one of these, bytes hold no secret and no segment that decodes.
 _MARKS = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|%[0-9A-Fa-f]{2}|\\|&#|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]|" + _STREAM.pattern)
 _SHORT = {"n": 10, "t": 9, "r": 13, "0": 0, "a": 7, "b": 8, "f": 12, "v": 11, "\\": 92, "'": 39, '"': 34}
@@ -79,41 +85,97 @@ def base_spans(text: str) -> Spans:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-class _Bomb(Exception):
-    """Compressed bytes hold more than ``MOST_LAYER``."""
-
-
-def _inflate(data: bytes | memoryview) -> tuple[bytes, int, bool] | None:
-    """What compressed bytes hold, how many of them, and whether the stream's end is there; None if
-    they aren't compressed in a known way."""
-    sign = bytes(data[:6])
-    try:
-        if sign[:2] == b"\x1f\x8b":
-            tool = zlib.decompressobj(31)
-        elif len(data) > 2 and sign[0] == 0x78 and sign[1] in (0x01, 0x5E, 0x9C, 0xDA):
-            tool = zlib.decompressobj()
-        elif sign[:3] == b"BZh":
-            tool = bz2.BZ2Decompressor()
-        elif sign == b"\xfd7zXZ\x00":
-            tool = lzma.LZMADecompressor()
-        elif sign[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(MOST_LAYER + 1)
-            if len(out) > MOST_LAYER:
-                raise _Bomb
-            return out, len(data), False
-        else:
-            return None
-        out = tool.decompress(data, MOST_LAYER + 1)
-    except _Bomb:
-        raise
-    except Exception:
+class _Source:
+    """Bytes that are read once, in pieces, from an iterator; ``taken`` counts them."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.held, self.taken = pieces, b"", 0
+
+    def peek(self, n: int) -> bytes:
+        if len(self.held) < n:
+            parts, size = [self.held], len(self.held)
+            while size < n and (more := next(self.pieces, None)) is not None:
+                parts.append(more)
+                size += len(more)
+            self.held = b"".join(parts)
+        return self.held[:n]
+
+    def piece(self) -> bytes:
+        """Some bytes; none at the end."""
+        out = self.held or next(self.pieces, b"")
+        self.held = b""
+        self.taken += len(out)
+        return out
+
+    def back(self, data: bytes) -> None:
+        self.held = data + self.held
+        self.taken -= len(data)
+
+    def read(self, n: int) -> bytes:
+        """``n`` bytes, fewer at the end."""
+        out = self.peek(n)
+        self.held = self.held[len(out) :]
+        self.taken += len(out)
+        return out
+
+
+def _tool(sign: bytes):
+    """A decompressor for a stream that begins with ``sign``; None if it isn't one's."""
+    if sign[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if _STREAM.match(sign) is None:
         return None
-    if len(out) > MOST_LAYER:
-        raise _Bomb
-    return out, len(data) - len(tool.unused_data), tool.eof
+    if sign[0] == 0x78:
+        return zlib.decompressobj()
+    if sign[:1] == b"B":
+        return bz2.BZ2Decompressor()
+    if sign[:1] == b"\xfd":
+        return lzma.LZMADecompressor()
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompressobj()
+
+
+def _inflated(source: _Source, whole: list[bool]) -> Iterator[bytes]:
+    """What the compressed members hold with which ``source`` begins, in pieces; ends where
+    they do or are damaged, and appends whether that was the end of a member."""
+    while (tool := _tool(source.peek(_LONGEST_SIGN))) is not None:
+        done = False
+        most = () if source.peek(1) == b"\x28" else (_FEED,)  # a zstd block is small in any case
+        try:
+            while not done and (data := source.piece()):
+                for at in range(0, len(data), _FEED):
+                    left = data[at : at + _FEED]
+                    while True:  # a little input may hold very much
+                        out = tool.decompress(left, *most)
+                        if out:
+                            yield out
+                        left = getattr(tool, "unconsumed_tail", b"") if most else b""
+                        if tool.eof or not most or not left and getattr(tool, "needs_input", len(out) < _FEED):
+                            break
+                    if tool.eof:
+                        done = True
+                        source.back(tool.unused_data + data[at + _FEED :])
+                        break
+        except Exception:
+            done = False
+        if not done:
+            whole.append(False)
+            return
+        # Zeros may fill up what lies between members.
+        while source.peek(1) == b"\0" and _tool(source.peek(512).lstrip(b"\0")[:_LONGEST_SIGN]):
+            source.read(1)
+    whole.append(True)
+
+
+class _Same:
+    """The place of characters that all stand for one segment."""
+
+    def __init__(self, place: int) -> None:
+        self.place = place
+
+    def __getitem__(self, at: int | slice) -> int | list[int]:
+        return [self.place] if isinstance(at, slice) else self.place
 
 
 def _text(data: bytes) -> str:
@@ -124,32 +186,56 @@ def _text(data: bytes) -> str:
         return data.decode("latin-1")
 
 
+def _windows(head: bytes, source: _Source) -> Iterator[bytes]:
+    """``head`` and all that follows it in windows that overlap."""
+    while True:
+        yield head
+        more = source.read(MOST_LAYER)
+        if not more:
+            return
+        head = head[-OVERLAP:] + more
+
+
 def _streams(data: bytes) -> Iterator[tuple[str, str, int, int]]:
     """(names of the layers, text, start, end) of the compressed streams in bytes, each
-    compressed any number of times; "bomb" and no text for one that holds too much."""
+    compressed any number of times; of one that holds very much, "bomb" and no text, and
+    then its windows, which are to be read before the next stream."""
     end = 0
     for m in _STREAM.finditer(data):
         at = m.start()
         if at < end:
             continue
-        names, now, size, whole, seen = "", memoryview(data)[at:], 0, False, set()
-        try:
-            while (found := _inflate(now)) is not None:
-                if not names:
-                    _, size, whole = found
-                now = found[0]
-                digest = hashlib.sha256(now).digest()
-                if digest in seen:
-                    break
-                seen.add(digest)
-                names += "zip/"
-        except _Bomb:
-            yield "bomb", "", at, at + size if size else len(data)
-            end = at + size if whole else end
+        outer = source = _Source(data[i : i + _FEED] for i in range(at, len(data), _FEED))
+        names, seen, whole = "", set(), []
+        while True:
+            ends: list[bool] = []
+            inner = _Source(_inflated(source, ends))
+            head = inner.read(MOST_LAYER + 1)
+            digest = hashlib.sha256(head).digest()
+            if not head or digest in seen:  # nothing there, or a cycle
+                names = names if not head else ""
+                break
+            seen.add(digest)
+            names += "zip/"
+            whole = whole or ends
+            source, last = inner, head
+            source.back(head)
+            if _tool(head[:_LONGEST_SIGN]) is None:
+                break
+        if not names:
             continue
-        if names and len(now) and found is None:
-            yield names.rstrip("/"), _text(bytes(now)), at, at + size
-            end = at + size if whole else end  # what isn't whole may be no stream at all
+        # A layer within that begins like a stream but isn't one is searched as it is.
+        if len(last) <= MOST_LAYER:
+            yield names.rstrip("/"), _text(last), at, at + outer.taken
+        else:
+            yield "bomb", "", at, len(data)
+            if not source.taken:
+                source.read(len(last))
+            for window in _windows(last, source):
+                if _MARKS.search(window):
+                    yield names.rstrip("/"), _text(window), at, len(data)
+        if whole and whole[0]:
+            end = at + outer.taken  # what isn't whole may be no stream at all
 
 
 def _from_base64(run: bytes) -> Iterator[tuple[int, bytes]]:
@@ -187,6 +273,9 @@ def _percent(part: str) -> str:
 
 
 def _escape(part: str) -> str:
+    if len(part) == 12:  # a surrogate pair
+        high, low = int(part[2:6], 16), int(part[8:], 16)
+        return chr(0x10000 + ((high & 0x3FF) << 10) + (low & 0x3FF))
     digits = part.strip("\\uUx{}&#X;")
     code = int(digits or "0", 10 if part[:2] == "&#" and part[2] not in "xX" else 16)
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
@@ -225,23 +314,23 @@ def _unescaped(kind: str, text: str) -> tuple[bytes, list[int], list[int]]:
     return bytes(out), starts, ends
 
 
-def _layers(text: str) -> Iterator[tuple[str, str, list[int], list[int]]]:
+def _layers(text: str) -> Iterator[tuple[str, str, list[int] | _Same, list[int] | _Same]]:
     """(name, text, starts, ends) of what the segments of a layer decode to; spans are positions in the layer."""
-    for name, sign, whole, unit, decode in (("url", "%", _PERCENT, _PERCENT_UNIT, _percent), ("esc", "", _ESCAPES, _ESCAPE_UNIT, _escape)):
-        if sign and sign not in text or not sign and "\\" not in text and "&#" not in text:
+    for name, unit, decode in (("url", _PERCENT_UNIT, _percent), ("esc", _ESCAPE_UNIT, _escape)):
+        if unit.search(text) is None:
             continue
-        for m in whole.finditer(text):
+        for m in _RUN.finditer(text):
+            if unit.search(m[0]) is None:
+                continue
             chars, starts, ends = [], [], []
             for part, a, b in _units(unit, m[0], decode):
                 chars.append(part)
                 starts += [m.start() + a] * len(part)
                 ends += [m.start() + b] * len(part)
             yield name, "".join(chars), starts, ends
-        if unit.search(text):
-            data, starts, ends = _unescaped(name, text)
-            for names, inner, a, b in _streams(data):
-                n = max(len(inner), 1)
-                yield "bomb" if names == "bomb" else f"{name}/{names}", inner, [starts[a]] * n, [ends[b - 1]] * n
+        data, starts, ends = _unescaped(name, text)
+        for names, inner, a, b in _streams(data):
+            yield "bomb" if names == "bomb" else f"{name}/{names}", inner, _Same(starts[a]), _Same(ends[b - 1])
     for m in _BASE64.finditer(text):
         lines = [(m.start() + x.start(), m.start() + x.end()) for x in _BASE64_LINE.finditer(m[0])]
         run = _digits(m[0].encode())
@@ -258,8 +347,8 @@ def _layers(text: str) -> Iterator[tuple[str, str, list[int], list[int]]]:
 
         for at, data in _from_base64(run):
             for names, inner, a, b in _streams(data):
-                n, span = max(len(inner), 1), place(a, b - 1, at)
-                yield "bomb" if names == "bomb" else f"b64/{names}", inner, [span[0]] * n, [span[1]] * n
+                span = place(a, b - 1, at)
+                yield "bomb" if names == "bomb" else f"b64/{names}", inner, _Same(span[0]), _Same(span[1])
             inner = _text(data)
             if of is None:
                 yield "b64", inner, [lines[0][0]] * len(inner), [lines[0][1]] * len(inner)
@@ -272,6 +361,32 @@ def _layers(text: str) -> Iterator[tuple[str, str, list[int], list[int]]]:
             yield "b64", inner, [x for x, _ in spans], [x for _, x in spans]
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+
+
+class _Reach:
+    """Spans of a text; how far those reach that begin up to a place, by a tree of maxima."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.most = size + 1, {}
+
+    def add(self, a: int, b: int) -> None:
+        a += 1
+        while a <= self.size:
+            self.most[a] = max(self.most.get(a, 0), b)
+            a += a & -a
+
+    def covers(self, a: int, b: int) -> bool:
+        """Whether one of the spans holds all from ``a`` to ``b``."""
+        a += 1
+        while a > 0:
+            if self.most.get(a, -1) >= b:
+                return True
+            a -= a & -a
+        return False
+
+
 def all_spans(text: str) -> tuple[Spans, Spans]:
     """(base spans, base and added spans) of a text, each by start and then kind.
 
@@ -281,23 +396,26 @@ def all_spans(text: str) -> tuple[Spans, Spans]:
     """
     base = base_spans(text)
     spans = list(base)
-    found = {(k, a, b) for k, a, b in base}
-    work: deque = deque([("", text, None, None, (hash(text),))])
+    found = {kind: _Reach(len(text)) for kind in KINDS}
+    for k, a, b in base:
+        found[k].add(a, b)
+    work: deque = deque([("", text, None, None, (_digest(text),))])
     while work:
         names, layer, starts, ends, path = work.popleft()
         if names:
             for kind, a, b in base_spans(layer):
                 a, b = starts[a], max(ends[a:b])
-                if not any(k == kind and x <= a and b <= y for k, x, y in found):
-                    found.add((kind, a, b))
+                if not found[kind].covers(a, b):
+                    found[kind].add(a, b)
                     spans.append((f"{names}/{kind}", a, b))
         for name, inner, a, b in _layers(layer):
             if starts is not None:
-                a, b = [starts[i] for i in a], [ends[j - 1] for j in b]
+                a = _Same(starts[a.place]) if isinstance(a, _Same) else [starts[i] for i in a]
+                b = _Same(ends[b.place - 1]) if isinstance(b, _Same) else [ends[j - 1] for j in b]
             if name == "bomb":
                 spans.append((f"{names}/bomb".strip("/"), a[0], b[0]))
-            elif hash(inner) not in path:
-                work.append((f"{names}/{name}".strip("/"), inner, a, b, (*path, hash(inner))))
+            elif (own := _digest(inner)) not in path:
+                work.append((f"{names}/{name}".strip("/"), inner, a, b, (*path, own)))
 
     def rank(s: tuple[str, int, int]) -> tuple:
         return s[1], KINDS.index(s[0]) if s[0] in KINDS else len(KINDS), s[0], s[2]
@@ -376,7 +494,7 @@ def without(text: str, spans: Spans, mark: str = "[SECRET]") -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """All documents and columns, with every span of a secret replaced in ``text`` and
     ``n_chars``, if there is one, counted anew where that is so; a null text stays null."""
-    at = docs.columns.index("text")
+    at = place(docs.columns, "text")
     count_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

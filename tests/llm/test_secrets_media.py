@@ -1,13 +1,18 @@
 """Secret scans and media sequences against plain Python and exact round trips."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
 import zlib
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
+import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -65,7 +70,8 @@ def test_positions_inside_percent_layers():
     assert spans == [("url/assign", text.index("pass"), text.index("&b"))]
 
 
-def test_bomb_and_cycles():
+def test_bomb_and_cycles(monkeypatch):
+    monkeypatch.setattr(secret_scan, "MOST_LAYER", 1 << 20)
     bomb = base64.b64encode(gzip.compress(b"\0" * (secret_scan.MOST_LAYER + 10))).decode()
     assert kinds(bomb) == ["bomb"]
     assert kinds("aaaaaaaaaaaaaaaaaaaaaaaa " * 50) == []
@@ -111,6 +117,60 @@ def test_base64_glued_and_bytes_that_are_not_text():
     assert kinds("a plain text with internationalisation\nand uncharacteristically-long words/paths/of/all/kinds") == []
 
 
+@pytest.mark.parametrize("compress", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress, zlib.compress])
+def test_all_members_and_all_of_a_large_layer(monkeypatch, compress):
+    monkeypatch.setattr(secret_scan, "MOST_LAYER", 1 << 17)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 10)
+    code = lambda data: base64.b64encode(data).decode()
+    raw = SECRET.encode()
+    assert kinds(code(compress(b"first, " * 9) + compress(raw))) == ["b64/zip/assign"]
+    assert kinds(code(compress(compress(raw)))) == ["b64/zip/zip/assign"]
+    for front in (0, 1 << 17, (1 << 17) + 1 - len(raw) // 2, 400_000):
+        text = f"see {code(compress(b' ' * front + raw + b' ' * 200_000))} end"
+        assert kinds(text) == ["b64/zip/assign", "bomb"] and {s[1:] for s in secret_scan.all_spans(text)[1]} == {(4, len(text) - 4)}
+    assert kinds(code(compress(b" " * 300_000 + code(raw).encode()))) == ["b64/zip/b64/assign", "bomb"]
+    assert kinds(code(compress(raw + b" " * 300)[:-3])) in ([], ["b64/zip/assign"])  # damaged
+
+
+def test_surrogate_pairs_and_stray_signs():
+    assert secret_scan._escape("\\ud83d\\ude00") == "😀"
+    assert kinds("100% of \\ud83d\\ude00\\u0070assword=hunter2hunter2 & 5%") == ["esc/assign"]
+
+
+def test_time_grows_with_the_findings_and_not_with_their_square():
+    one = base64.b64encode(b"token=abcdefgh").decode()
+    assert kinds(f"{one} " * 5000) == ["b64/assign"] * 5000
+    assert kinds("%" * 50_000 + "x" * 50_000) == []
+
+
+def decoded(text, depth=0):
+    """Secrets in a text and in what its percent and base64 segments decode to, by plain recursion."""
+    out = {m for _, a, b in brute_base(text) for m in [text[a:b]]}
+    if depth < 6:
+        for m in re.finditer(r"\S*%[0-9A-Fa-f]{2}\S*", text):
+            out |= decoded(unquote(m[0]), depth + 1)
+        for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", text):
+            run = m[0].rstrip("=")
+            run = run[: len(run) - (len(run) % 4 == 1)]
+            data = base64.b64decode(run + "=" * (-len(run) % 4))
+            if data[:2] == b"\x1f\x8b":
+                data = gzip.decompress(data)
+            out |= decoded(data.decode("latin-1"), depth + 1)
+    return out
+
+
+def test_random_nestings_against_plain_recursion():
+    rng = random.Random(6)
+    wraps = [lambda t: quote(t, safe=""), lambda t: base64.b64encode(t.encode()).decode(), lambda t: base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode()]
+    for _ in range(120):
+        text = rng.choice([SECRET, KEY, "nothing to be seen", "0123456789abcdef" * 2])
+        for _ in range(rng.randrange(4)):
+            text = f"{'go on ' * rng.randrange(4)}{rng.choice(wraps)(text)}{' and so on' * rng.randrange(3)}"
+        found = decoded(text)
+        assert bool(found) == bool(kinds(text)), text
+        assert {k for k, _, _ in brute_base(text)} <= set(kinds(text))
+
+
 def test_scan_query(spark, sf_dir, texts):
     rows = queries.op7_secret_scan(spark, sf_dir).collect()
     assert len(rows) == len(texts)
