@@ -26,8 +26,8 @@ class PieceEncoder:
     A piece is the white space before a word and the word; punctuation behind a word
     of Latin letters is a piece of its own.  Both vocabularies split a text at these
     places before merging, so that pieces don't influence each other, as long as a
-    text has no white space but blanks and line ends.  Any other text is encoded as
-    a whole.  New words of letters are encoded many at a time, one after the other in
+    text has no white space but blanks and line ends and no literal of an added token,
+    which the library takes for that token.  Any other text is encoded as a whole.  New words of letters are encoded many at a time, one after the other in
     one text: the first token of a word, or the last, is marked in the vocabulary.
 
     keep_space: whether white space is part of the tokens that follow it (a word's
@@ -39,7 +39,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Texts with the literal of an added token, or what may become one, are encoded as a whole.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        sign = os.path.commonprefix(added)
+        self.sign = sign if sign and sign.lower() == sign.upper() else "" if added else None
         self.keep_space = keep_space
         # Without white space, to split at it is much the fastest; punctuation comes off new pieces.
         self.pieces = re.compile(rf" ?{_WORD}|[ \n]*[^ \n]+|[ \n]+").findall if keep_space else str.split
@@ -48,10 +51,9 @@ class PieceEncoder:
         self.marked = np.zeros(max(vocabulary.values()) + 1, bool)
         self.marked[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if keep_space else t.endswith("</w>"))]] = True
 
-    @staticmethod
-    def odd(text: str) -> bool:
-        """Whether a text has white space but blanks and line ends."""
-        return any(c in text for c in (_ODD_ASCII if text.isascii() else _ODD))
+    def odd(self, text: str) -> bool:
+        """Whether a text has white space but blanks and line ends, or may hold an added token."""
+        return any(c in text for c in (_ODD_ASCII if text.isascii() else _ODD)) or self.sign is not None and self.sign in text
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

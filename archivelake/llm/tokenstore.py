@@ -13,14 +13,14 @@ Spark reaches can hold it; a shard is one binary value:
     ids           u16 or u32[offset[records]], by width (2 where all ids fit)
 
 All integers are little-endian.  A key is looked up by hashing it to a bucket,
-that bucket's displacement to a slot, and comparing the stored fingerprint:
-constant time, with no search.  The columns beside the shard say which keys and
+that bucket's displacement to a slot, and comparing the stored fingerprint and then the
+key of the slot's first record: constant time, with no search.  The columns beside the shard say which keys and
 how many ids it holds and where its ids begin in its partition.
 
 Nulls: a null text counts as empty; null keys come first in a shard and are read
 by ``Shard.nulls``.  Rows that repeat a key are records of their own, found
-together, in the order of a hash of their texts.  An empty table gives an empty
-store.  Other columns are ignored.
+together, in the order of a hash of their texts.  A very long text is encoded whole and
+ends its shard.  An empty table gives an empty store.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -138,7 +138,10 @@ class Shard:
     def get(self, key: int) -> list[bytes]:
         """The ids of each record of ``key``; none if the shard doesn't hold it."""
         slot = int(self.slots(np.array([key]))[0])
-        return [] if slot < 0 else [self.record(r) for r in range(self.first[slot], self.first[slot] + self.count[slot])]
+        # Another key may have the same fingerprint.
+        if slot < 0 or self.keys[self.first[slot]] != key:
+            return []
+        return [self.record(r) for r in range(self.first[slot], self.first[slot] + self.count[slot])]
 
     def record(self, r: int) -> bytes:
         return self.ids[int(self.offset[r]) : int(self.offset[r + 1])].astype("<u4").tobytes()

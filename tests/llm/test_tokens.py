@@ -11,12 +11,11 @@ from tokenizers import Tokenizer
 from archivelake.llm import packing, queries, tokenstore
 from archivelake.llm.tokenizing import PieceEncoder
 
-ODD = ["", None, " ", "\n\n", "a  b\t\n\nc", "it's  we'll\u00a0x", "e\u0301 ΣΑΣ Σ", "<|endoftext|> x", "日本語 ½ ²", "x" * 5000, " \n x \n\n y  ", "\x1c a\x85b", "😀😀 ok"]
+ODD = ["", None, " ", "\n\n", "a  b\t\n\nc", "it's  we'll\u00a0x", "e\u0301 ΣΑΣ Σ", "<|endoftext|> x", "a<|startoftext|>b hello <|endoftext|> world", "A <|ENDOFTEXT|> <| b", "日本語 ½ ²", "x" * 5000, " \n x \n\n y  ", "\x1c a\x85b", "😀😀 ok"]
 
 
 def plain(name):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -120,6 +119,25 @@ def test_packing_of_odd_texts(make_docs):
     assert packing.pack(make_docs([]), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_second_round_and_what_put_has_placed(make_docs, monkeypatch):
+    """Many small partitions: open windows meet in few packers, and little is cut anew."""
+    random = np.random.default_rng(2)
+    texts = [" a" * int(random.integers(1, 1400)) for _ in range(1200)]
+    rows = packing.pack(make_docs(texts).repartition(16), P.path("byte_bpe_50k.json"), with_ids=False, packer_pieces=2000).collect()
+    assert check_packing(rows, dict(enumerate(plain("byte_bpe_50k.json")(texts))), 0) < 0.01
+    remainders = defaultdict(int)
+    for r in rows:
+        if r.start >= r.doc_tokens // 1024 * 1024:
+            remainders[r.doc_id] += 1
+    assert sum(n > 1 for n in remainders.values()) < 0.2 * len(remainders)
+
+
+def test_key_with_the_fingerprint_of_another(monkeypatch):
+    monkeypatch.setattr(tokenstore, "_prints", lambda hashes: np.zeros(len(hashes), np.uint32))
+    shard = tokenstore.Shard(tokenstore.build_shard([10, 20, 30], [b"\1\0\0\0"] * 3))
+    assert len(shard.get(20)) == 1 and shard.get(21) == shard.get(-5) == []
+
+
 def test_level_is_the_least_sum_of_squares():
     random = np.random.default_rng(1)
     packer = packing.SumOfSquares(32)
