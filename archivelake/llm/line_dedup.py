@@ -1,10 +1,10 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line (between "\\n"s) of ``min_chars`` code points or more is removed if a line
-that comes earlier, in order of doc_id, a hash of the text, and position, equals
-it or differs from it by one edit: a code point put in, taken out or replaced.
-Lines are judged on the input, not on what is left.  With ``copies``, shorter lines
-that aren't blank are judged as well, for exact copies alone.
+A line (between "\\n"s) that holds more than white space is removed if one that comes
+earlier, in order of doc_id, a hash of the text, and position, equals it, or, where
+both have ``edit_chars`` code points or more, differs from it by one edit: a code point
+put in, taken out or replaced.  (Of a shorter line, one edit leaves too little: "1." is
+no copy of "2.".)  Lines are judged on the input, not on what is left.
 
 Equal lines meet by digest.  For lines one edit apart, let m be the longer
 length.  Cut at multiples of a width w(m), the edit lies in one block; all before
@@ -19,13 +19,13 @@ replacement apart, so each is compared with the earliest of them only; a whole
 block is compared with the longer lines that meet it.  Pairs are therefore no more
 than keys.  Edit distance is then verified on the lines.
 
-Before that, a line must share one of four keys with another line: its first or
+Before that, a line of ``edit_chars`` or more must share one of four keys with another line: its first or
 its last floor((m - 1) / 2) code points, with m its length or one more.  Two lines
 one edit apart always do, so this loses nothing, and few other lines do.
 
 Nulls: a null text has no lines and stays null; null doc_ids come first.  An empty
 text has one line, which is kept.  Rows that repeat doc_id and text are treated
-alike.  An empty table gives an empty result.  Other columns are ignored by
+alike.  A text is split into lines once for each step that reads it, however long it is.  An empty table gives an empty result.  Other columns are ignored by
 ``judge`` and kept by ``dedup``.
 """
 
@@ -34,12 +34,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import pick, place, written
 
-MIN_CHARS = 20
+EDIT_CHARS = 20
 LEAST_WIDTH = 64
-#: Rows of (doc_id, hash, position) that may be broadcast: some 32 bytes each.
-MOST_BROADCAST = 500_000
+#: Bytes of a hash table that may be broadcast, as estimated from its rows.
+MOST_BROADCAST = 32 << 20
 _NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
@@ -47,11 +47,15 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _occurrences(texts: DataFrame, min_chars: int, copies: bool) -> DataFrame:
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, not for each element that a lambda sees."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _occurrences(texts: DataFrame) -> DataFrame:
     """Every line to be judged of ``texts(doc, tag, text)``: doc, tag, pos, line, id (its digest)."""
     lines = texts.select("doc", "tag", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    judged = F.length("line") >= min_chars
-    return lines.where(judged | F.col("line").rlike(_NOT_BLANK) if copies else judged).withColumn("id", F.unhex(F.md5("line")))
+    return lines.where(F.col("line").rlike(_NOT_BLANK)).withColumn("id", F.unhex(F.md5("line")))
 
 
 def _meeting_keys(line: Column) -> Column:
@@ -111,28 +115,24 @@ def near_pairs(lines: DataFrame) -> DataFrame:
     return both.where(F.levenshtein("line", "other", 1) == 1).select("id", "earlier")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """``df``, a written table, marked for broadcast if it is small enough."""
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
-
-
-def _removed(texts: DataFrame, min_chars: int, copies: bool) -> DataFrame:
+def _removed(texts: DataFrame, edit_chars: int) -> DataFrame:
     """doc, tag and the set ``gone`` of the positions of removed lines, where there are any."""
-    found = _occurrences(texts, min_chars, copies)
+    found = _occurrences(texts)
     place = F.struct("doc", "tag", "pos")
-    keys = _meeting_keys(F.col("line"))
-    if copies:  # the edit is for lines of min_chars or more
-        keys = F.when(F.length("line") >= min_chars, keys)
+    keys = F.when(F.length("line") >= edit_chars, _meeting_keys(F.col("line")))
     # One row for each distinct line, without its text; equal lines are combined before the shuffle.
     keyed = found.select("id", place.alias("place"), keys.alias("keys"))
     distinct = written(keyed.groupBy("id").agg(F.min("place").alias("first"), F.first("keys").alias("keys")), "lines")
     keys = distinct.select("id", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
     meeting = keys.join(shared, "key", "left_semi").select("id").distinct()
-    firsts = written(distinct.select("id", "first").join(meeting, "id", "left_semi"), "meeting")
-    few = _few(firsts).select("id", "first", F.col("first.doc").alias("fdoc"), F.col("first.tag").alias("ftag"))
-    source = texts.join(few, F.col("doc").eqNullSafe(F.col("fdoc")) & (F.col("tag") == F.col("ftag")))
-    lines = source.select("id", "first", F.get(_lines(F.col("text")), F.col("first.pos")).alias("line")).dropDuplicates(["id"])
+    firsts = distinct.select("id", "first").join(meeting, "id", "left_semi")
+    # Lines are taken from the documents in which they come first, each split once.
+    wanted = written(firsts.groupBy(F.col("first.doc").alias("fdoc"), F.col("first.tag").alias("ftag")).agg(F.collect_list(F.struct("id", "first")).alias("wanted")), "meeting")
+    size = wanted.agg(F.sum(128 + 96 * F.size("wanted"))).first()[0] or 0
+    source = texts.join(F.broadcast(wanted) if size <= MOST_BROADCAST else wanted, F.col("doc").eqNullSafe(F.col("fdoc")) & (F.col("tag") == F.col("ftag")))
+    taken = _let(_lines(F.col("text")), lambda lines: F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), w["first"].alias("first"), F.get(lines, w["first"]["pos"]).alias("line"))))
+    lines = source.select(F.explode(taken).alias("l")).select("l.*").dropDuplicates(["id"])
     near = written(near_pairs(written(lines, "meeting-lines")).select("id").distinct(), "near-lines").withColumn("near", F.lit(True))
     known = distinct.select("id", "first").join(near, "id", "left")
     same = (F.col("first.doc").eqNullSafe(F.col("doc"))) & (F.col("first.tag") == F.col("tag")) & (F.col("first.pos") == F.col("pos"))
@@ -142,25 +142,28 @@ def _removed(texts: DataFrame, min_chars: int, copies: bool) -> DataFrame:
 
 def _kept(text: Column, gone: Column) -> Column:
     """``text`` without the lines at the positions ``gone``; itself if that is null."""
-    lines = _lines(text)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    return F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+
+    def left(lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+
+    return F.when(gone.isNull(), text).otherwise(_let(_lines(text), left))
 
 
-def _judged(flat: DataFrame, doc: str, text: str, min_chars: int, copies: bool) -> DataFrame:
+def _judged(flat: DataFrame, doc: str, text: str, edit_chars: int) -> DataFrame:
     """``flat`` with ``kept`` (its text without removed lines) and ``gone``."""
     tag = F.xxhash64(text)
     texts = flat.select(F.col(doc).alias("doc"), tag.alias("tag"), F.col(text).alias("text"))
     # By hash, so that the texts needn't be sorted: a partition's removed positions are few.
-    removed = _removed(texts, min_chars, copies).hint("shuffle_hash")
+    removed = _removed(texts, edit_chars).hint("shuffle_hash")
     joined = flat.withColumn("own", tag).join(removed, F.col(doc).eqNullSafe(F.col("doc")) & (F.col("own") == F.col("tag")), "left")
     return joined.withColumn("kept", _kept(F.col(text), F.col("gone")))
 
 
-def judge(docs: DataFrame, min_chars: int = MIN_CHARS, copies: bool = False) -> DataFrame:
+def judge(docs: DataFrame, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 and ``kept`` (the text that is left) of every document."""
     flat = pick(docs, "doc_id", "text").toDF("c0", "c1")
-    out = _judged(flat, "c0", "c1", min_chars, copies)
+    out = _judged(flat, "c0", "c1", edit_chars)
     n = F.when(F.col("c1").isNull(), 0).otherwise(F.size(_lines(F.col("c1"))))
     return out.select(
         F.col("c0").alias("doc_id"),
@@ -171,13 +174,14 @@ def judge(docs: DataFrame, min_chars: int = MIN_CHARS, copies: bool = False) ->
     )
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, copies: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """The documents with all their columns, ``text`` without removed lines and
     ``n_chars``, if there is one, counted anew.  A document that loses lines and has
     no word left is dropped; nothing of it isn't in an earlier one."""
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    out = _judged(flat, f"c{names.index('doc_id')}", f"c{names.index('text')}", min_chars, copies)
+    out = _judged(flat, f"c{place(names, 'doc_id')}", f"c{place(names, 'text')}", edit_chars)
     out = out.where(F.col("gone").isNull() | F.col("kept").rlike(_NOT_BLANK))
-    columns = [F.col("kept") if n == "text" else F.when(F.col("gone").isNull(), F.col(f"c{i}")).otherwise(F.length("kept")) if n == "n_chars" else F.col(f"c{i}") for i, n in enumerate(names)]
+    text = place(names, "text")
+    columns = [F.col("kept") if i == text else F.when(F.col("gone").isNull(), F.col(f"c{i}")).otherwise(F.length("kept")) if n == "n_chars" else F.col(f"c{i}") for i, n in enumerate(names)]
     return out.select(*[c.cast(docs.schema.fields[i].dataType).alias(f"c{i}") for i, c in enumerate(columns)]).toDF(*names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality
+from . import quality
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -49,12 +49,13 @@ def line_dedup_sql() -> str:
     return f"""
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM docs),
-firsts AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM lines WHERE length(line) >= {line_dedup.MIN_CHARS} GROUP BY line),
+firsts AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM lines WHERE regexp_matches(line, '{_WORDS}') GROUP BY line),
+long AS (SELECT * FROM firsts WHERE n >= 20),
 pairs AS (
-  SELECT a.line AS a, b.line AS b, a.first AS fa, b.first AS fb, a.n AS n, b.n AS m FROM firsts a JOIN firsts b
+  SELECT a.line AS a, b.line AS b, a.first AS fa, b.first AS fb, a.n AS n, b.n AS m FROM long a JOIN long b
   ON b.n = a.n AND a.line < b.line AND (left(a.line, (b.n - 1) // 2) = left(b.line, (b.n - 1) // 2) OR right(a.line, (b.n - 1) // 2) = right(b.line, (b.n - 1) // 2))
   UNION ALL
-  SELECT a.line, b.line, a.first, b.first, a.n, b.n FROM firsts a JOIN firsts b
+  SELECT a.line, b.line, a.first, b.first, a.n, b.n FROM long a JOIN long b
   ON b.n = a.n + 1 AND (left(a.line, (b.n - 1) // 2) = left(b.line, (b.n - 1) // 2) OR right(a.line, (b.n - 1) // 2) = right(b.line, (b.n - 1) // 2))),
 near AS (
   SELECT CASE WHEN fa > fb THEN a ELSE b END AS line FROM pairs
