@@ -28,6 +28,8 @@ doc_ids take part; a component's id is its smallest doc_id that isn't null, null
 there is none, and ``kept`` then holds.  Rows that repeat a doc_id are judged alike
 if their texts are equal.  An empty table gives an empty result.  Other columns are
 ignored by ``components`` and kept by ``dedup``, which decides by row: see there.
+A very long text's set is held whole in memory, eight bytes a shingle; blocks are cut
+so that they hold ``BLOCK_VALUES`` values, or two sets.
 """
 
 from __future__ import annotations
@@ -37,16 +39,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import pick, place, written
 from .components import connected
 from .textkernel import Words, mix, slices, window_hashes
 
 SKETCH = 64
 HEADS = 10
 BLOCK = 512
+#: Values of all sets that meet in a block, about: eight bytes each.
+BLOCK_VALUES = 4 << 20
 #: Rows of six numbers that may be broadcast: some 64 bytes each.
 MOST_BROADCAST = 250_000
 
@@ -120,8 +124,12 @@ def _survivors(classes: DataFrame, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     """cid and values (the full set as bytes) of ``classes(cid, rep, hi, lo)``, from one document of each."""
     texts = pick(docs, "doc_id", "text")
-    wanted = F.broadcast(classes) if classes.count() <= MOST_BROADCAST else classes
-    found = texts.join(wanted.select("cid", "rep", "hi", "lo"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "hi", "lo", "text")
+    wanted = classes.select("cid", "rep", "hi", "lo")
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
+    # By doc_id and hash of the text: null doc_ids don't meet each other for that alone.
+    same = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.xxhash64("text") == F.col("rep.tag"))
+    # Rows that repeat both are combined where they lie, before any set is made.
+    found = texts.join(wanted, same).groupBy("cid", "hi", "lo").agg(F.first("text").alias("text"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +138,7 @@ def _sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
                 own = [i for i, s in enumerate(sets) if _digest(s) == (part.column(1)[i].as_py(), part.column(2)[i].as_py())]
                 yield pa.RecordBatch.from_pydict({"cid": part.column(0).take(pa.array(own, pa.int64())), "values": pa.array([sets[i].tobytes() for i in own], pa.binary())})
 
-    return found.mapInArrow(full, "cid long, values binary").dropDuplicates(["cid"])
+    return found.mapInArrow(full, "cid long, values binary")
 
 
 class _Block:
@@ -205,26 +213,33 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     """Confirmed links (a, b) between cids of ``classes(cid, n, rep, hi, lo, sketch)`` that connect all that are connected."""
     alive = written(classes.join(_survivors(classes, percent), "cid", "left_semi"), "survivors")
     sets = written(_sets(docs, alive.select("cid", "rep", "hi", "lo"), n), "sets")
-    heads = alive.select("cid", F.get("sketch", F.lit(0)).alias("head"), F.explode(F.slice("sketch", 1, HEADS)).alias("v"))
+    heads = alive.select("cid", "n", F.get("sketch", F.lit(0)).alias("head"), F.explode(F.slice("sketch", 1, HEADS)).alias("v"))
     sign = F.xxhash64("cid")
     stats = heads.groupBy("v").agg(
-        F.count("*").alias("c"), F.bit_xor(sign).alias("x"), F.sum(F.col("cid").cast("decimal(38,0)")).alias("s"), F.min("head").alias("low"), F.max("head").alias("high")
+        F.count("*").alias("c"), F.sum("n").alias("size"), F.bit_xor(sign).alias("x"), F.sum(F.col("cid").cast("decimal(38,0)")).alias("s"), F.min("head").alias("low"), F.max("head").alias("high")
     )
     stats = stats.where("c > 1 and not (low = high and low <> v)")
     # Of lists with equal members, that of the smallest value, in the order of the sketches.
     order = F.struct((F.col("v") < 0).alias("upper"), "v")
-    kept = written(stats.groupBy("c", "x", "s").agg(F.min(order).alias("o")).select(F.col("o.v").alias("v"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "lists")
+    kept = written(stats.groupBy("c", "size", "x", "s").agg(F.min(order).alias("o")).select(F.col("o.v").alias("v"), F.greatest(F.ceil(F.col("c") / BLOCK), F.when(F.col("c") > 2, F.ceil(F.col("size") / BLOCK_VALUES)).otherwise(1)).cast("int").alias("blocks")), "lists")
     members = written(heads.join(kept, "v"), "members")
     first = members.select("v", "cid", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block"), F.lit(0).alias("side"))
     found = written(_block_links(first.join(sets, "cid"), ["block"], percent), "links")
-    large = members.where("blocks > 1").select("v", "cid", "head")
+    large = members.where("blocks > 1").select("v", "cid", "n", "head")
     if large.isEmpty():
         return found
 
     roots = connected(found)
-    placed = large.join(roots, F.col("cid") == F.col("node"), "left").select("v", "cid", "head", F.coalesce("root", "cid").alias("comp"))
-    nth = F.row_number().over(Window.partitionBy("v").orderBy("head", "comp", "cid"))
-    placed = written(placed.withColumn("block", F.floor((nth - 1) / BLOCK).cast("int")), "blocks")
+    placed = large.join(roots, F.col("cid") == F.col("node"), "left").select("v", "cid", "n", "head", F.coalesce("root", "cid").alias("comp"))
+    # Members of one smallest value and component keep together, in blocks of their own if they
+    # fill one; the others are dealt by these.  Sizes are counted before the shuffle.
+    fill = F.greatest(F.lit(1 / BLOCK), F.least(F.col("n") / BLOCK_VALUES, F.lit(1.0)))
+    units = placed.groupBy("v", "head", "comp").agg(F.sum(fill).alias("fill"))
+    small = units.where("fill < 0.5").groupBy("v").agg(F.ceil(F.sum("fill")).cast("long").alias("small"))
+    units = units.join(small, "v", "left")
+    own = F.xxhash64("head", "comp", F.pmod(F.xxhash64("cid"), F.ceil("fill").cast("long")))
+    block = F.when(F.col("fill") < 0.5, F.pmod(F.xxhash64("head", "comp"), F.col("small"))).otherwise(own.bitwiseOR(F.lit(1 << 32)))
+    placed = written(placed.join(units, ["v", "head", "comp"]).select("v", "cid", "head", "comp", block.alias("block")), "blocks")
     ends = placed.groupBy("v", "block").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("head").alias("h1"), F.max("head").alias("h2"))
     other = ends.select("v", F.col("block").alias("j"), F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
     one_component = F.expr("c1 = c2 and d1 = d2 and c1 = d1")
@@ -239,11 +254,11 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
 def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, tag, n, root (null for an empty set) and component of every document."""
     signed = written(signatures(docs, n), "signatures")
-    grouped = signed.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    grouped = signed.where("n > 0").groupBy("hi", "lo").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     roots = connected(links(docs, classes, n, percent))
     rooted = classes.join(roots, F.col("cid") == F.col("node"), "left").select("hi", "lo", "rep", F.coalesce("root", "cid").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
+    least = rooted.groupBy("root").agg(F.min("rep.doc_id").alias("component"))
     known = rooted.join(least, "root").select("hi", "lo", "root", "component")
     # An empty set has digest (0, 0) and no class.
     return signed.drop("sketch").join(known, ["hi", "lo"], "left").select("doc_id", "tag", "n", "root", "component")
@@ -257,22 +272,20 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def dedup(docs: DataFrame, n: int = 5, percent: int = 80, repeats: bool = True) -> DataFrame:
-    """The documents with all their columns, one of each component: that of the smallest
-    doc_id, null last, then of the smallest hash of its text.  Rows that repeat that
-    document's doc_id and text stay with it if the doc_id isn't null and ``repeats``
-    holds; else one of them stays.  Documents with empty sets all stay."""
+def dedup(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents with all their columns, one row of each component: that of the smallest
+    doc_id, null last, then of the smallest hash of its text; of rows that repeat both, that
+    of the smallest hash of all its columns.  Rows with empty sets all stay."""
     rows = written(_components(docs, n, percent).where("root is not null").groupBy("root", "doc_id", "tag").agg(F.count("*").alias("copies")), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
     best = rows.groupBy("root").agg(F.min(order).alias("best"))
     judged = rows.join(best, "root").withColumn("one", order == F.col("best"))
-    single = F.col("doc_id").isNull() if repeats else F.lit(True)
     # Rows that go, and those of which one is put back.
-    out = judged.where(~F.col("one") | (F.col("copies") > 1) & single)
+    out = judged.where(~F.col("one") | (F.col("copies") > 1))
     out = written(out.select(F.col("doc_id").alias("gone"), F.col("tag").alias("gone_tag"), F.col("one").alias("back")), "gone")
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    doc, tag = F.col(f"c{names.index('doc_id')}"), F.xxhash64(f"c{names.index('text')}")
+    doc, tag = F.col(f"c{place(names, 'doc_id')}"), F.xxhash64(f"c{place(names, 'text')}")
     same = doc.eqNullSafe(F.col("gone")) & (tag == F.col("gone_tag"))
     left = flat.join(out, same, "left_anti")
     back = out.where("back")

@@ -93,9 +93,15 @@ def test_dedup_decides_by_row(make_docs):
     rows += [(4, b), (None, b), (5, b), (5, "an unrelated text of an id that goes once")]  # linked with ids
     rows += [(7, c), (7, c + " more"), (7, "x y z"), (8, d), (8, d)]
 
-    def left(**how):
-        return sorted((str(r.doc_id), (r.text or "")[:12]) for r in near_dup.dedup(make_docs(rows, extra=True), **how).collect())
-
+    left = sorted((str(r.doc_id), (r.text or "")[:12]) for r in near_dup.dedup(make_docs(rows, extra=True)).collect())
     one = [("4", b[:12]), ("5", "an unrelated"), ("7", c[:12]), ("7", "x y z"), ("8", d[:12]), ("None", ""), ("None", ""), ("None", a[:12]), ("None", "p q r s t u")]
-    assert left(repeats=False) == sorted(one)
-    assert left() == sorted([*one, ("8", d[:12])])  # rows that repeat doc_id and text
+    assert left == sorted(one)
+
+
+def test_very_many_null_ids_are_no_square(make_docs):
+    rng = random.Random(8)
+    rows = [(None, " ".join(f"w{rng.randrange(10**7)}" for _ in range(12))) for _ in range(2500)]
+    rows += [(None, t + " more") for _, t in rows]
+    got = near_dup.components(make_docs(rows), 3, 85).collect()
+    assert len(got) == 5000 and all(r.component_id is None and r.kept for r in got)
+    assert near_dup.dedup(make_docs(rows)).count() == 2500
