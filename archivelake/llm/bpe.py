@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_table, pick
+from .common import fresh_table, pick, release
 from .textkernel import ranges, same_ranges, slices
 
 RANK_BUCKETS = 1 << 16
@@ -310,6 +310,8 @@ def blocks(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES) -> Dat
                     block, size, ids, counts, found = block + 1, 0, [], [], []
         if ids:
             yield row()
+            ids, counts, found = [], [], []
+        release()
 
     return pick(docs, "doc_id", "text").mapInArrow(split, "block long, n_words long, words binary, doc_ids array<long>, texts binary")
 
@@ -385,6 +387,8 @@ def _folded(listed: DataFrame, vocabulary: str) -> DataFrame:
                     count, found = _concatenated(values, ends, _unpacked(numbers.as_py(), "<u4")[0])
                     rows.append(_packed(count.astype("<u4"), found.astype("<u4")))
                 yield pa.RecordBatch.from_pydict({"block": batch.column(1), "part": batch.column(0), "ids": pa.array(rows, pa.binary())})
+        lists, values, ends = [], None, None
+        release()
 
     return listed.withColumn("ids", ids).mapInArrow(looked_up, "block long, part long, ids binary")
 
@@ -416,7 +420,10 @@ def _coded(vocabulary: str, with_ids: bool):
             at += n
             rows.append((doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.tobytes()).hexdigest(), ids.tobytes())[: 4 + with_ids])
         kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.binary()} if with_ids else {})
-        return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
+        out = pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
+        del rows, lists, word_ids, word_ends, sequence
+        release()
+        return out
 
     return coded
 
