@@ -20,7 +20,8 @@ found twice or more are removed.
 
 Nulls: a null text has no words, a null doc_id is kept.  Texts of fewer than
 ``window`` words stay whole.  Rows that repeat doc_id and text are two places, so
-their windows go.  An empty table gives an empty result.  Other columns are ignored.
+their windows go.  A very long text is hashed and cut whole, in memory that grows with it.
+An empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -103,24 +104,41 @@ def _key():
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of entries (fp, key), in levels."""
+    """Sorted immutable runs of entries (fp, key), in levels, and the hits of each batch.
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
+    All are tables of the warehouse whose names begin with ``name`` and say their level, so
+    that another session opens the index by its name and adds the next batch to it."""
+
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, name: str | None = None) -> None:
         self.spark, self.fanout = spark, fanout
-        self.name = f"fingerprints_{uuid.uuid4().hex}"
+        self.name = name or f"fingerprints_{uuid.uuid4().hex}"
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-        self.hits: list[DataFrame] = []
+        self.hits: list[str] = []
         self.written = 0
+        held = [r.tableName for r in spark.sql(f"SHOW TABLES LIKE '{self.name}_*'").collect()] if name else []
+        for table in sorted(held, key=lambda t: int(t.rsplit("_", 1)[1])):
+            what, number = table.removeprefix(f"{self.name}_").split("_")
+            self.written = max(self.written, int(number))
+            if what == "hits":
+                self.hits.append(table)
+            else:
+                self._level(int(what)).append(table)
+
+    def _level(self, level: int) -> list[str]:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        return self.levels[level]
 
-    def _run(self, entries: DataFrame, level: int) -> str:
+    def _name(self, what: str | int) -> str:
         self.written += 1
-        name = f"{self.name}_{self.written}"
+        return f"{self.name}_{what}_{self.written}"
+
+    def _run(self, entries: DataFrame, level: int) -> str:
+        name = self._name(level)
         dealt = entries.repartition(self.buckets, "fp").sortWithinPartitions("fp")
         dealt.write.bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(name)
+        self._level(level).append(name)
         return name
 
     def runs(self) -> list[DataFrame]:
@@ -133,8 +151,9 @@ class FingerprintIndex:
         shared = new.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
         for run in older:
             shared = shared.union(new.select("fp").join(run.select("fp"), "fp", "left_semi"))
-        hits = written(shared.distinct(), "hits")
-        self.hits.append(hits)
+        self.hits.append(self._name("hits"))
+        shared.distinct().write.saveAsTable(self.hits[-1])
+        hits = self.spark.table(self.hits[-1])
         self._compact()
         return hits
 
@@ -153,9 +172,9 @@ class FingerprintIndex:
 
     def flagged(self) -> DataFrame:
         """key and fps, the set of its hits, of every document that holds one."""
-        hits = self.hits[0]
-        for h in self.hits[1:]:
-            hits = hits.union(h)
+        hits = self.spark.table(self.hits[0])
+        for name in self.hits[1:]:
+            hits = hits.union(self.spark.table(name))
         hits = hits.distinct()
         found = None
         for run in self.runs():
@@ -164,9 +183,8 @@ class FingerprintIndex:
         return found.groupBy("key").agg(F.collect_set("fp").alias("fps"))
 
     def drop(self) -> None:
-        for level in self.levels:
-            for name in level:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for name in [*(n for level in self.levels for n in level), *self.hits]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 _ROWS = "d1 long, d2 long, n long, doc_id long, key long, start int, starts array<int>"
@@ -266,18 +284,35 @@ def _without(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
-def dedup(batches: Iterable[DataFrame], window: int = WINDOW) -> DataFrame:
+def dedup(batches: Iterable[DataFrame], window: int = WINDOW, index: FingerprintIndex | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept of the documents of all ``batches(doc_id, text)``.
 
     Each batch goes into the index in turn.  Both joins with the texts use one and
-    the same exchange of them.
+    the same exchange of them.  An index that is passed stays, with all its runs: batches
+    whose entries it already holds are to be passed to ``history`` of the next call's
+    ``dedup_next`` alone.
     """
     batches = list(batches)
-    index = FingerprintIndex(batches[0].sparkSession)
+    own = index is None
+    index = index or FingerprintIndex(batches[0].sparkSession)
     for batch in batches:
         index.add(fingerprints(batch, window))
     flagged = written(index.flagged(), "flagged")
-    index.drop()
+    if own:
+        index.drop()
+    return _removed(batches, flagged, window)
+
+
+def dedup_next(batch: DataFrame, history: DataFrame, index: FingerprintIndex, window: int = WINDOW) -> DataFrame:
+    """``dedup`` of a new batch and of ``history``, all documents that ``index`` holds: only the
+    batch's entries are made, merged with the runs and added; only documents with a hit are
+    looked into."""
+    index.add(fingerprints(batch, window))
+    return _removed([history, batch], written(index.flagged(), "flagged"), window)
+
+
+def _removed(batches: list[DataFrame], flagged: DataFrame, window: int) -> DataFrame:
+    """The documents of ``batches`` without the windows that are found twice or more."""
 
     texts = pick(batches[0], "doc_id", "text")
     for batch in batches[1:]:
@@ -291,10 +326,13 @@ def dedup(batches: Iterable[DataFrame], window: int = WINDOW) -> DataFrame:
 
 
 def file_batches(table: DataFrame, most: int = 4) -> list[DataFrame]:
-    """A table of files as up to ``most`` batches of whole files, in order of their names."""
+    """A table of files as up to ``most`` batches of whole files, in order of their names; of
+    one file, its rows in ``most`` ranges of their hash."""
     files = sorted(table.inputFiles())
     if len(files) < 2:
-        return [table]
+        mark = F.xxhash64(*table.columns)
+        ends = [(i << 64) // most - (1 << 63) for i in range(most + 1)]
+        return [table.where(mark.between(a, b - 1)) for a, b in zip(ends, ends[1:], strict=False)]
     size = -(-len(files) // most)
     reader = table.sparkSession.read.schema(table.schema)
     return [reader.parquet(*files[i : i + size]) for i in range(0, len(files), size)]

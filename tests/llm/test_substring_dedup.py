@@ -59,3 +59,24 @@ def test_runs_are_compacted(spark, make_docs):
 
 def test_empty_table(make_docs):
     assert substring_dedup.dedup([make_docs([])]).count() == 0
+
+
+def test_index_is_reopened_for_the_next_batch(spark, make_docs):
+    passage = " ".join(f"p{i}" for i in range(50))
+    old = [(i, f"{i} " + (passage if i == 1 else " ".join(f"o{i}x{j}" for j in range(60)))) for i in range(4)]
+    new = [(10, "front " + passage + " end"), (11, " ".join(f"n{j}" for j in range(60)))]
+    first = substring_dedup.FingerprintIndex(spark, fanout=2)
+    assert result(substring_dedup.dedup([make_docs(old[:2]), make_docs(old[2:])], index=first)) == brute(old, 35)
+    again = substring_dedup.FingerprintIndex(spark, fanout=2, name=first.name)
+    assert again.levels == [x for x in first.levels] and again.hits == first.hits
+    got = substring_dedup.dedup_next(make_docs(new), make_docs(old), again)
+    assert result(got) == brute(old + new, 35)
+    again.drop()
+    assert spark.sql(f"SHOW TABLES LIKE '{first.name}_*'").count() == 0
+
+
+def test_a_table_of_one_file_is_several_batches(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    batches = substring_dedup.file_batches(table)
+    assert len(batches) == 4 and [b.count() > 0 for b in batches] == [True] * 4
+    assert sum(b.count() for b in batches) == table.count()
