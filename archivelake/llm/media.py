@@ -10,8 +10,8 @@ The stored form is an 8-bit greyscale PNG, 192 samples to a row: payloads are
 padded with blanks to a positive multiple of 192 bytes.
 
 Nulls: null HTML has no elements, a null payload counts as empty.  Repeated rows
-are parsed each by itself.  An empty table gives an empty result.  Other columns
-are ignored.
+are parsed each by itself.  A very long payload or text is handled whole, in a few times
+its size of memory.  An empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,16 +83,17 @@ def feature(image: np.ndarray) -> str:
     """Size, mean and mean square of the samples in thousandths, and 64 bits that say
     which cells of an 8 x 8 grid are brighter than the mean; integers only."""
     rows, width = image.shape
-    wide = image.astype(np.int64)
-    total, square, n = int(wide.sum()), int((wide * wide).sum()), image.size
+    n, counts, values = image.size, np.zeros(256, np.int64), np.arange(256, dtype=np.int64)
+    for at in range(0, rows, 4096):
+        counts += np.bincount(image[at : at + 4096].ravel(), minlength=256)
+    total, square = int(counts @ values), int(counts @ values**2)
     edges = [rows * i // 8 for i in range(9)]
-    sums = np.concatenate([np.zeros((1, width), np.int64), np.cumsum(wide, axis=0)])
     bits = 0
     for a, b in zip(edges, edges[1:], strict=False):
-        b = max(b, a + 1)
-        cells = (sums[min(b, rows)] - sums[min(a, rows - 1)]).reshape(8, width // 8).sum(1)
+        a, b = min(a, rows - 1), min(max(b, a + 1), rows)
+        cells = image[a:b].sum(0, dtype=np.int64).reshape(8, width // 8).sum(1)
         for c in cells:
-            bits = bits << 1 | int(int(c) * n > total * (min(b, rows) - min(a, rows - 1)) * (width // 8))
+            bits = bits << 1 | int(int(c) * n > total * (b - a) * (width // 8))
     return f"{width}x{rows};mean={1000 * total // n};square={1000 * square // n};grid={bits:016x}"
 
 
@@ -140,7 +141,7 @@ class _Sequence(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.elements: list[dict] = []
         self.text: list[str] = []
-        self.skipped = 0
+        self.skipped: list[str] = []  # open elements without text of the document
         self.figure: list[dict] | None = None  # the media of the open figure
         self.caption: list[str] | None = None
 
@@ -154,9 +155,16 @@ class _Sequence(HTMLParser):
             self.add(kind="text", text=run)
         self.text = []
 
+    def end_caption(self) -> None:
+        caption, self.caption = " ".join("".join(self.caption or []).split()), None
+        for found in self.figure or []:
+            found["caption"] = caption
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if "head" in self.skipped and (tag == "body" or tag in _BLOCKS or tag in _MEDIA):
+            self.skipped.remove("head")  # its end tag may be left out
         if tag in _SKIPPED:
-            self.skipped += 1
+            self.skipped.append(tag)
         if tag in _BLOCKS and self.caption is None:
             self.end_text()
         if tag == "figure":
@@ -175,12 +183,10 @@ class _Sequence(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _SKIPPED:
-            self.skipped = max(0, self.skipped - 1)
-        if tag == "figcaption" and self.caption is not None:
-            caption, self.caption = " ".join("".join(self.caption).split()), None
-            for found in self.figure or []:
-                found["caption"] = caption
+        if tag in self.skipped:
+            self.skipped.remove(tag)
+        if tag in ("figcaption", "figure") and self.caption is not None:
+            self.end_caption()
         elif tag in _BLOCKS and self.caption is None:
             self.end_text()
         if tag == "figure":
@@ -198,7 +204,8 @@ def parse(html: str | None) -> list[dict]:
     parser = _Sequence()
     parser.feed(html or "")
     parser.close()
-    parser.caption = None
+    if parser.caption is not None:
+        parser.end_caption()
     parser.end_text()
     return parser.elements
 
@@ -216,14 +223,42 @@ def sequences(pages: DataFrame, key: str, html: str) -> DataFrame:
     return rows.mapInArrow(parsed, f"{key} {rows.schema[key].dataType.simpleString()}, elements {ELEMENTS}")
 
 
+def escaped(text: Column) -> Column:
+    """A text as HTML that shows it."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
 def reference(digest: Column, caption: Column) -> Column:
     """HTML of a figure that refers to the medium of ``digest``."""
-    return F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+    return F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), escaped(caption), F.lit("</figcaption></figure>"))
+
+
+def page(text: Column, figure: Column) -> Column:
+    """HTML of a text, a paragraph for each line, with ``figure`` behind the first one."""
+    first = F.substring_index(text, "\n", 1)
+    rest = F.replace(escaped(F.substring(text, F.length(first) + 2, F.length(text))), F.lit("\n"), F.lit("</p>\n<p>"))
+    return F.concat(F.lit("<p>"), escaped(first), F.lit("</p>\n"), figure, F.lit("\n<p>"), rest, F.lit("</p>"))
 
 
 def resolve(sequence: DataFrame, key: str, media: DataFrame) -> DataFrame:
-    """One row per media reference: key, position, caption, digest and the columns of
-    ``media(digest, ...)``, whose digests are distinct; null where no medium has the digest."""
-    refs = sequence.select(key, F.explode("elements").alias("e")).where("e.media is not null")
-    refs = refs.select(key, F.col("e.position").alias("position"), F.col("e.caption").alias("caption"), F.regexp_replace("e.media", "^sha256:", "").alias("digest"))
+    """One row per media reference: key, position, caption, n_elements (of the document), before and
+    after (the last text in front of it and the first behind it, null if there is none), digest
+    and the columns of ``media(digest, ...)``, whose digests are distinct; null where no medium
+    has the digest."""
+    refs = sequence.select(key, "elements", F.explode("elements").alias("e")).where("e.media is not null")
+
+    def beside(step: int) -> Column:
+        return F.get(F.col("elements"), F.col("e.position") + step)["text"]
+
+    refs = refs.select(
+        key,
+        F.col("e.position").alias("position"),
+        F.col("e.caption").alias("caption"),
+        F.size("elements").cast("long").alias("n_elements"),
+        beside(-1).alias("before"),
+        beside(1).alias("after"),
+        F.regexp_replace("e.media", "^sha256:", "").alias("digest"),
+    )
     return refs.join(media, "digest", "left")

@@ -38,14 +38,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
-    payload = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    text = F.coalesce("text", F.lit(""))
+    payload = F.encode(text, "UTF-8")
     stored = written(media.store(docs.select(payload.alias("payload"))), "media")
-    pages = docs.select("doc_id", media.reference(F.sha2(payload, 256), F.coalesce("source", F.lit(""))).alias("html"))
+    pages = docs.select("doc_id", media.page(text, media.reference(F.sha2(payload, 256), F.coalesce("source", F.lit("")))).alias("html"))
     # Written, so that nothing but the join needs the rows of a digest together: then those of a
     # digest that very many documents share can be split.
     known = written(media.measured(stored), "measured")
     return media.resolve(media.sequences(pages, "doc_id", "html"), "doc_id", known).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_elements"
     )
 
 

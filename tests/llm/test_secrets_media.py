@@ -198,7 +198,46 @@ def test_media_query(spark, sf_dir, texts):
         stored = media.png(payload)
         r = rows[k]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), media.feature(media.samples(stored)))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), plain_feature(payload))
+        paragraphs = [bool(x.split()) for x in (text or "").split("\n")]
+        assert (r.position, r.n_elements) == (int(paragraphs[0]), sum(paragraphs) + 1)
+
+
+def plain_feature(payload):
+    """The feature of a payload, sample by sample."""
+    rows = [payload[i : i + 192] for i in range(0, len(payload), 192)]
+    n, total, square = len(payload), sum(payload), sum(x * x for x in payload)
+    bits = ""
+    for i in range(8):
+        a, b = len(rows) * i // 8, len(rows) * (i + 1) // 8
+        a, b = min(a, len(rows) - 1), min(max(b, a + 1), len(rows))
+        for j in range(0, 192, 24):
+            cell = sum(sum(r[j : j + 24]) for r in rows[a:b])
+            bits += str(int(cell * n > total * (b - a) * 24))
+    return f"192x{len(rows)};mean={1000 * total // n};square={1000 * square // n};grid={int(bits, 2):016x}"
+
+
+def test_media_of_odd_documents(spark, make_docs, tmp_path):
+    """Signs of HTML in texts and captions, nulls, repeated and null keys, a very long text."""
+    schema = "doc_id long, text string, source string, digest string"
+    rows = [(1, "a <b> & \"c\"\n\nsecond &amp; line\nthird", 'a<img src="x">b', "d"), (2, None, None, "d"), (2, "", "s", "d"), (None, "\n<figure>\n", "&lt;", "d"), (5, "long " * 400_000, "t", "d"), (6, "a <b> & \"c\"", "u", "d")]
+    for part in (rows, []):
+        spark.createDataFrame(part, schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        got = {(r.doc_id, r.n_bytes): (r.position, r.n_elements, r.caption) for r in queries.op6_media_sequences(spark, str(tmp_path)).collect()}
+        want = {(1, 36): (1, 4, 'a<img src="x">b'), (2, 0): (0, 1, "s"), (None, 10): (0, 2, "&lt;"), (5, 2_000_000): (1, 2, "t"), (6, 11): (1, 2, "u")}
+        if part:
+            caption = got[2, 0][2]
+            assert caption in ("", "s") and got | {(2, 0): (0, 1, "s")} == {(k, len((t or "").encode())): want[k, len((t or "").encode())] for k, t, _, _ in rows}
+        else:
+            assert got == {}
+
+
+def test_order_of_elements_around_references(spark):
+    html = "<html><head><title>t</title><body>one<img src='sha256:aa'>two<figure><img src='sha256:bb'><figcaption>open</figure>three"
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    media_rows = spark.createDataFrame([("aa", 1)], "digest string, size int")
+    got = media.resolve(media.sequences(pages, "page_id", "html"), "page_id", media_rows).orderBy("position").collect()
+    assert [(r.position, r.digest, r.caption, r.n_elements, r.before, r.after, r.size) for r in got] == [(1, "aa", None, 5, "one", "two", 1), (3, "bb", "open", 5, "two", "three", None)]
 
 
 @settings(max_examples=50, deadline=None)
