@@ -1,17 +1,18 @@
 """URL filter: ordered rules, then logistic regression on hashed character n-grams.
 
-The model is trained on the driver from a small labelled URL table (at most
-``MOST_LABELLED`` rows, all of which are used) and is a vector of 2**16 weights,
+The model is trained on the driver from a small labelled URL table (``labelled_urls.tsv``
+beside this module; at most ``MOST_LABELLED`` rows, all of which are used) and is a vector of 2**16 weights,
 which travels with the task's code; scoring is one pass without a shuffle.
 
 Nulls: a null URL, or one without "://", has an empty host and path; no rule fits
-it and the model judges the empty n-grams, that is, its bias alone.  Repeated
-rows are judged alike.  An empty table gives an empty result.  Other columns
-are ignored.
+it, and without n-grams the model has no evidence: its score is 0, which allows it.
+Repeated rows are judged alike.  A very long URL gives all its n-grams.  An empty table
+gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,23 +37,11 @@ RULES = [
 ]
 RULES = [(v, h, p.removeprefix("/")) for v, h, p in RULES]
 
-#: Hosts and paths of the small labelled table: 1 is to be blocked.
-_BAD_NAMES = "spam-farm cheap-pills casino-bonus free-money hot-singles lottery-win pills-online xxx-cams payday-loans replica-watches seo-links click-bait fake-id viagra-shop betting-tips crypto-double".split()
-_GOOD_NAMES = "library news weather school museum garden recipes archive science history music theatre travel health sport city".split()
-_PREFIXES = ["", "www.", "blog.", "m."]
-_DOMAINS = ["example.com", "example.net", "example.org"]
-_LANGS = ["en", "de", "fr", "es"]
-
-
-def labelled() -> list[tuple[str, int]]:
-    """The small labelled URL table: names of two kinds under the same prefixes, domains and paths."""
-    out = []
-    for names, label in ((_BAD_NAMES, 1), (_GOOD_NAMES, 0)):
-        for i, name in enumerate(names):
-            for j, prefix in enumerate(_PREFIXES):
-                domain, lang = _DOMAINS[(i + j) % 3], _LANGS[(i + 2 * j) % 4]
-                out.append((f"https://{prefix}{name}.{domain}/{lang}/{(37 * i + 211 * j) % 1000}", label))
-    return out
+def labelled(path: str | None = None) -> list[tuple[str, int]]:
+    """The labelled URL table: a URL, a tab, and 1 if it is to be blocked, else 0, on each line."""
+    with open(path or os.path.join(os.path.dirname(__file__), "labelled_urls.tsv"), encoding="utf-8") as f:
+        rows = [line.rstrip("\n").split("\t") for line in f if line.strip()]
+    return [(url, int(label)) for url, label in rows]
 
 
 def host_of(url: Column) -> Column:
@@ -79,23 +68,24 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return found
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, bucket) of each character n-gram of the texts, taken over their bytes."""
-    raw = np.frombuffer(b"".join(texts), np.uint8)
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, bucket) of each n-gram of code points of the texts."""
+    raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint8)
+    size = len(raw) // 4
     ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
     owner = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[0], ends])))
     docs, buckets = [], []
     for n in GRAMS:
-        at = np.arange(max(0, len(raw) - n + 1))
+        at = np.arange(max(0, size - n + 1))
         at = at[at + n <= ends[owner[at]]] if len(at) else at
         docs.append(owner[at])
-        buckets.append((ranges(raw, at, at + n) >> np.uint64(64 - BITS)).astype(np.int64))
+        buckets.append((ranges(raw, 4 * at, 4 * (at + n)) >> np.uint64(64 - BITS)).astype(np.int64))
     return np.concatenate(docs), np.concatenate(buckets)
 
 
 def _features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket, weight) with weights 1 / sqrt(n-grams of the text)."""
-    doc, bucket = grams([f"^{h}|{p}$".encode() if h or p else b"" for h, p in zip(hosts, paths, strict=True)])
+    doc, bucket = grams([f"^{h}|{p}$" if h or p else "" for h, p in zip(hosts, paths, strict=True)])
     share = 1 / np.sqrt(np.maximum(1, np.bincount(doc, minlength=len(hosts))))
     return doc, bucket, share[doc]
 
@@ -117,7 +107,8 @@ def train(hosts: list[str], paths: list[str], labels: list[int], steps: int = 30
 def scores(weights: np.ndarray, hosts: list[str], paths: list[str]) -> np.ndarray:
     """The log-odds that each URL is to be blocked."""
     doc, bucket, value = _features(hosts, paths)
-    return weights[-1] + np.bincount(doc, weights[bucket] * value, minlength=len(hosts))
+    known = np.bincount(doc, minlength=len(hosts)) > 0
+    return np.where(known, weights[-1] + np.bincount(doc, weights[bucket] * value, minlength=len(hosts)), 0.0)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
