@@ -101,7 +101,7 @@ class Archive:
         found = self.lookup("TABLE DATA", namespace, table)
         if found is None:
             raise EntityNotFound(f"TABLE DATA {namespace}.{table}")
-        if not self.container.data([found]):
+        if not self.container.has_data(found):
             raise NoData(f"TABLE DATA {namespace}.{table}")
         return found
 
@@ -142,10 +142,9 @@ class Archive:
     def entry_data(self, dump_id: int) -> DataFrame:
         """An entry's plain bytes as one value ``data``, for payloads that fit in a row; no row without a payload."""
         chunks = self.entry_chunks(dump_id)
-        digits = F.transform(F.sort_array(F.collect_list(F.struct("split", "pos", F.hex("data").alias("h")))), lambda x: x["h"])
-        found = F.unhex(F.array_join(digits, ""))
-        has = bool(self.container.data([self.get_entry(dump_id)]))
-        return chunks.agg(found.alias("data")).where(F.lit(has))
+        found = F.expr("listagg(data, X'') WITHIN GROUP (ORDER BY split, pos)")
+        has = self.container.has_data(self.get_entry(dump_id))
+        return chunks.agg(F.coalesce(found, F.lit(b"")).alias("data")).where(F.lit(has))
 
     def blobs(self) -> DataFrame:
         """dump_id, blob_pos, oid and data of all large objects of entries that hold such, with the entry's place."""

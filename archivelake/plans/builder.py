@@ -2,8 +2,8 @@
 
 A builder is immutable; each change gives a new one.  A payload is a DataFrame that
 is encoded where its partitions are: each task stages its part of the stream, and the
-driver, which sees only sizes and checksums, puts the parts together behind a table
-of contents whose offsets it already knows, and renames the result into place.
+driver sees only sizes and checksums.  It plans files whose offsets it then knows; tasks
+put the parts together, each a file, and the driver renames the result into place.
 """
 
 from __future__ import annotations
@@ -247,12 +247,31 @@ def _whole(data: bytes, codec: str, gzip_file: bool) -> Iterator[bytes]:
         yield b"".join([codecs.head(codec, gzip_file), *codecs.encode_part([data], codec), codecs.tail(codec, gzip_file, sums)])
 
 
-def _copy(files: list[str], out) -> None:
-    for name in files:
-        file, _ = storage.open_file(name)
-        with file:
-            while piece := file.read(8 << 20):
-                out.write(piece)
+_PLAN = "target string, parts array<struct<data:binary,file:string>>"
+
+
+def _assemble(spark: SparkSession, plan: dict[str, list[bytes | str]]) -> None:
+    """Puts files together from bytes and staged files, each file in one task."""
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for target, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                attempt = f"{target}.{uuid.uuid4().hex}"  # an attempt's own, until it is whole
+                with storage.create(attempt) as out:
+                    for part in parts:
+                        if part["file"] is None:
+                            out.write(part["data"])
+                            continue
+                        file, _ = storage.open_file(part["file"])
+                        with file:
+                            while piece := file.read(8 << 20):
+                                out.write(piece)
+                storage.move(attempt, target)
+                yield pa.RecordBatch.from_pydict({"target": [target]})
+
+    if plan:
+        rows = [(target, [(bytearray(x), None) if isinstance(x, bytes) else (None, x) for x in parts]) for target, parts in plan.items()]
+        spark.createDataFrame(rows, _PLAN).repartition(min(len(rows), 1024)).mapInArrow(assemble, "target string").count()
 
 
 def _save_custom(spark: SparkSession, b: ArchiveBuilder, path: str, staging: str) -> None:
@@ -281,15 +300,9 @@ def _save_custom(spark: SparkSession, b: ArchiveBuilder, path: str, staging: str
         offsets[dump_id] = at
         at += block[3]
     whole = storage.join(staging, "archive")
-    with storage.create(whole) as out:
-        out.write(preamble)
-        for e in entries:
-            out.write(put_entry(e.updated(offset=offsets.get(e.dump_id, 0)), h, False))
-        for head, files, tail, _ in blocks.values():
-            out.write(head)
-            _copy(files, out)
-            out.write(tail)
-    storage.move(whole, path)
+    head = preamble + b"".join(put_entry(e.updated(offset=offsets.get(e.dump_id, 0)), h, False) for e in entries)
+    _assemble(spark, {whole: [head, *(x for first, files, last, _ in blocks.values() for x in (first, *files, last))]})
+    storage.put_in_place(whole, path)
 
 
 def _settled(e: Entry, has_payload: bool) -> Entry:
@@ -299,11 +312,11 @@ def _settled(e: Entry, has_payload: bool) -> Entry:
     return e.updated(data_state="NoData" if e.data_state == "Set" else e.data_state)
 
 
-def _members(spark: SparkSession, b: ArchiveBuilder, staging: str) -> dict[str, list[str] | bytes]:
-    """The files of a directory by name: staged files to be put together, or bytes."""
+def _members(spark: SparkSession, b: ArchiveBuilder, staging: str) -> dict[str, list[str | bytes]]:
+    """The files of a directory by name: what they are put together from, staged files and bytes."""
     h = b.toc.header
     extension = codecs.EXTENSIONS[h.compression]
-    out: dict[str, list[str] | bytes] = {}
+    out: dict[str, list[str | bytes]] = {}
     entries = []
     for e in b.entries:
         name = None
@@ -316,17 +329,12 @@ def _members(spark: SparkSession, b: ArchiveBuilder, staging: str) -> dict[str,
             name = f"{e.dump_id}.dat"
             staged = _stage(spark, b.data[e.dump_id], staging, f"data{e.dump_id}", h.compression, None)
             head, tail = codecs.head(h.compression, True), codecs.tail(h.compression, True, staged.sums)
-            ends = []
-            for part, data in (("head", head), ("tail", tail)):
-                ends.append(storage.join(staging, f"data{e.dump_id}-{part}"))
-                with storage.create(ends[-1]) as file:
-                    file.write(data)
-            out[name + extension] = [ends[0], *staged.files, ends[1]]
+            out[name + extension] = [head, *staged.files, tail]
         entries.append(_settled(e, name is not None).updated(filename=name))
     # A table of contents beside its files says "Tar".
     toc = replace(b.toc, header=replace(h, format="Tar"), entries=tuple(entries))
     data = put_preamble(toc) + b"".join(put_entry(e, toc.header, True) for e in entries)
-    return {"toc.dat": data} | dict(sorted(out.items()))
+    return {"toc.dat": [data]} | dict(sorted(out.items()))
 
 
 def _stage_objects(objects: tuple[DataFrame, ...], staging: str, name: str, codec: str) -> tuple[list[str], list[str]]:
@@ -360,27 +368,15 @@ def _stage_objects(objects: tuple[DataFrame, ...], staging: str, name: str, code
 
 def _save_directory(spark: SparkSession, b: ArchiveBuilder, path: str, staging: str) -> None:
     folder = storage.join(staging, "archive")
-    for name, content in _members(spark, b, staging).items():
-        with storage.create(storage.join(folder, name)) as out:
-            if isinstance(content, bytes):
-                out.write(content)
-            else:
-                _copy(content, out)
-    storage.remove(path)  # nothing of an older archive stays beside the new files
-    storage.move(folder, path)
+    _assemble(spark, {storage.join(folder, name): parts for name, parts in _members(spark, b, staging).items()})
+    storage.put_in_place(folder, path)  # nothing of an older archive stays beside the new files
 
 
 def _save_tar(spark: SparkSession, b: ArchiveBuilder, path: str, staging: str) -> None:
     whole = storage.join(staging, "archive")
-    with storage.create(whole) as out:
-        for name, content in (_members(spark, b, staging) | {"restore.sql": containers.RESTORE}).items():
-            size = len(content) if isinstance(content, bytes) else sum(storage.open_file(f)[1] for f in content)
-            out.write(containers.tar_header(name, size))
-            if isinstance(content, bytes):
-                out.write(content)
-            else:
-                _copy(content, out)
-            out.write(b"\0" * (-size % containers.TAR_BLOCK))
-        out.write(b"\0" * 2 * containers.TAR_BLOCK)
-    storage.remove(path)
-    storage.move(whole, path)
+    plan: list[bytes | str] = []
+    for name, parts in (_members(spark, b, staging) | {"restore.sql": [containers.RESTORE]}).items():
+        size = sum(len(x) if isinstance(x, bytes) else storage.open_file(x)[1] for x in parts)
+        plan += [containers.tar_header(name, size), *parts, b"\0" * (-size % containers.TAR_BLOCK)]
+    _assemble(spark, {whole: [*plan, b"\0" * 2 * containers.TAR_BLOCK]})
+    storage.put_in_place(whole, path)

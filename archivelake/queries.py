@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import ArchiveError
 from .functions import dates, objecttypes, versions, wire
 from .operators.ordering import by_dependencies, phase1
 from .plans.archive import Archive
 from .plans.builder import ArchiveBuilder, new
-from .plans.workspace import saved, with_table
+from .plans.workspace import folder, saved, with_table
+from .sources import storage
+from .sources.containers import members
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,14 +51,15 @@ for _form, _short, _name in (("Custom", "custom", "orders"), ("Directory", "dir"
 query("SELECT * FROM part", "q_rt_tar")(_round_trip("part", "Tar", "none"))
 
 
-# Text with every character that COPY escapes, and nulls.
-_ODD_TEXT = "CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN concat(text, {tab}, {cr}, {bs}, 'N', {bs}, 't', {vt}) ELSE text END"
+# Every text as it is, and beside it one with every character that COPY escapes, or null.
+_ODD_TEXT = "CASE WHEN doc_id % 7 > 0 THEN concat(text, {tab}, {cr}, {bs}, 'N', {bs}, 't', {vt}) END"
 
 
-@query(f"SELECT doc_id, {_ODD_TEXT.format(tab='chr(9)', cr='chr(13)', bs='chr(92)', vt='chr(11)')} AS text FROM documents")
+@query(f"SELECT doc_id, text, {_ODD_TEXT.format(tab='chr(9)', cr='chr(13)', bs='chr(92)', vt='chr(11)')} AS odd FROM documents")
 def q_rt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "documents").select("doc_id", F.expr(_ODD_TEXT.format(tab="char(9)", cr="char(13)", bs="char(92)", vt="char(11)")).alias("text"))
-    return saved(spark, (sf_dir, "text"), lambda: with_table("texts", rows), "Custom", "zstd").table("public", "texts", "doc_id long, text string")
+    odd = F.expr(_ODD_TEXT.format(tab="char(9)", cr="char(13)", bs="char(92)", vt="char(11)"))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", "text", odd.alias("odd"))
+    return saved(spark, (sf_dir, "text"), lambda: with_table("texts", rows), "Custom", "zstd").table("public", "texts", "doc_id long, text string, odd string")
 
 
 @query("SELECT concat_ws(chr(9), n_nationkey, n_name, n_regionkey) AS line FROM nation")
@@ -350,3 +355,93 @@ def q_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: a table goes into an archive and comes back as typed rows."""
     rows = _table(spark, sf_dir, "nation", "Custom", "none").table("public", "nation", _read(spark, sf_dir, "nation").schema)
     return rows.groupBy("n_regionkey").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT CAST(w AS INTEGER) AS wanted, kind AS desc_, tag FROM (VALUES (1), (4), (10), (14), (1000000), (-1)) v(w) LEFT JOIN {_ALL_SQL} a ON dump_id = w")
+def q_get_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive, rows = _part_toc(spark, sf_dir), []
+    for wanted in (1, 4, 10, 14, 10**6, -1):
+        e = archive.get_entry(wanted)
+        rows.append((wanted, e and e.desc, e and e.tag))
+    return spark.createDataFrame(rows, "wanted int, desc_ string, tag string")
+
+
+@query("SELECT 3 AS n_entries, true AS made_now")
+def q_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    new("testdb").save(spark, path)
+    info = Archive(spark, path).info()
+    age = F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("created_at"))
+    return info.select("n_entries", (age < 3600).alias("made_now"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY name <> 'toc.dat', name) - 1 AS pos, name FROM
+(SELECT 'blob_' || (page_id + 1) || '.dat' AS name FROM pages UNION ALL VALUES ('toc.dat'), ('blobs_4.toc'))""")
+def q_tar_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of the files in a tar: the table of contents, then the others by name."""
+    _objects("Tar", "none")(spark, sf_dir)
+    archive = saved(spark, (sf_dir, "objects"), lambda: None, "Tar")
+    return spark.createDataFrame([(i, name) for i, name in enumerate(members(archive.path))], "pos long, name string")
+
+
+_ERRORS = {
+    "no file": "ArchiveIOError",
+    "junk": "InvalidHeader",
+    "folder without toc.dat": "InvalidHeader",
+    "cut short": "ArchiveIOError",
+    "version": "UnsupportedVersion",
+    "format": "UnsupportedFormat",
+    "codec": "UnsupportedCompression",
+    "block type": "DataIntegrity",
+    "block of another entry": "DataIntegrity",
+    "no entry": "EntityNotFound",
+    "no payload": "NoData",
+    "no such id": "InvalidDumpId",
+    "payload for no such id": "InvalidDumpId",
+    "compressed tar": "UnsupportedCompression",
+    "codec of a later version": "UnsupportedCompression",
+    "name that isn't UTF-8": "InvalidUtf8",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', '{v}')" for k, v in _ERRORS.items()) + ") t(what, error)")
+def q_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes wrong with damaged archives and with questions that have no answer."""
+    place = f"{folder(spark)}/{uuid.uuid4().hex}"
+    b = with_table("t", spark.range(3)).add_entry("TABLE DATA", "public", "bare")
+    b.save(spark, f"{place}/whole")
+    archive = Archive(spark, f"{place}/whole")
+    data = archive.lookup("TABLE DATA", "public", "t")
+    file, _ = storage.open_file(archive.path)
+    with file:
+        raw = file.read()
+
+    def damaged(at: int, *values: int):
+        def attempt() -> None:
+            path = f"{place}/{uuid.uuid4().hex}"
+            with storage.create(path) as out:
+                out.write(raw[:at] + bytes(values) + raw[at + len(values) :] if values else raw[:at])
+            Archive(spark, path).table_data("public", "t")
+
+        return attempt
+
+    def folder_without() -> None:
+        with storage.create(f"{place}/folder/other"):
+            pass
+        Archive(spark, f"{place}/folder")
+
+    name = raw.index(b"testdb")
+    attempts = [
+        lambda: Archive(spark, f"{place}/nothing"), damaged(0, *b"junk!"), folder_without, damaged(200), damaged(6, 17), damaged(10, 9), damaged(11, 9),
+        damaged(data.offset, 9), damaged(data.offset + 2, 77), lambda: archive.table_data("public", "x"), lambda: archive.table_data("public", "bare"),
+        lambda: archive.entry_data(999), lambda: b.set_bytes(999, b""), lambda: b.with_format("Tar").with_compression("gzip").save(spark, f"{place}/t"),
+        lambda: new("x", appear_as="15.0").with_compression("lz4").save(spark, f"{place}/t"), damaged(name, 0xFF),
+    ]
+    rows = []
+    for what, attempt in zip(_ERRORS, attempts, strict=True):
+        try:
+            attempt()
+            rows.append((what, None))
+        except ArchiveError as e:
+            rows.append((what, type(e).__name__))
+    return spark.createDataFrame(rows, "what string, error string")

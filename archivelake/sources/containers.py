@@ -11,16 +11,17 @@ import io
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
-from ..errors import ArchiveIOError, DataIntegrity, InvalidDumpId, InvalidHeader
+from ..errors import ArchiveIOError, DataIntegrity, InvalidHeader
 from ..functions.wire import Entry, Reader, Toc, read_toc
 from . import codecs, storage
 
 # Fixed values of the formats.
 TAR_BLOCK = 512
 DATA_BLOCK, BLOBS_BLOCK = 1, 3
-RESTORE = b"-- This file is included for convenience.\n-- Edit $$PATH$$ references to point to extracted files.\n"
 TAR_MAGICS = (b"ustar\0", b"ustar  \0")
 
+#: A script has its place in a tar; nothing reads it.
+RESTORE = b"-- Restore this archive with pg_restore.\n"
 #: Bytes of an uncompressed payload that one task reads: as many as there are for each
 #: core, within these bounds.
 SPLIT_BYTES = 64 << 20
@@ -113,30 +114,31 @@ def _after(split: Split) -> Iterator[bytes]:
 
 def lines(split: Split) -> Iterator[list[bytes]]:
     """The lines of a split in groups, without their ends: cut at "\\n", less one "\\r" before it."""
-    rest, skipping = b"", split.number > 0
+    held: list[bytes] = []  # the pieces of a line that isn't whole yet
+    skipping = split.number > 0
     for data in raw(split):
         if skipping:
             cut = data.find(b"\n")
             if cut < 0:
                 continue
             data, skipping = data[cut + 1 :], False
-        *whole, rest = (rest + data).split(b"\n")
-        if whole:
-            yield [x.removesuffix(b"\r") for x in whole] if b"\r" in data or whole[0][-1:] == b"\r" else whole
+        if b"\n" not in data:
+            held.append(data)
+            continue
+        *whole, rest = b"".join([*held, data]).split(b"\n")
+        held = [rest]
+        yield [x.removesuffix(b"\r") for x in whole] if b"\r" in data or whole[0][-1:] == b"\r" else whole
     if skipping:
         return  # a line that began before runs through all of it
     if split.end < split.stop:
         # The line that begins here, or right behind the end, is this split's.
-        parts = [rest]
         for data in _after(split):
             cut = data.find(b"\n")
             if cut >= 0:
-                parts.append(data[:cut])
-                yield [b"".join(parts).removesuffix(b"\r")]
+                yield [b"".join([*held, data[:cut]]).removesuffix(b"\r")]
                 return
-            parts.append(data)
-        rest = b"".join(parts)
-    if rest:
+            held.append(data)
+    if rest := b"".join(held):
         yield [rest]
 
 
@@ -169,6 +171,10 @@ class Container:
         """Splits of the table payloads of ``entries``."""
         raise NotImplementedError
 
+    def has_data(self, entry: Entry) -> bool:
+        """Whether an entry has a table payload; the payload isn't looked into."""
+        return bool(self.data([entry]))
+
     def blobs(self, entries: Iterable[Entry]) -> list[Split | BlobRef]:
         """Blocks, or single objects, of the large objects of ``entries``."""
         raise NotImplementedError
@@ -180,7 +186,7 @@ class Custom(Container):
     def _toc(self) -> Toc:
         file, size = storage.open_file(self.path)
         with file:
-            toc = read_toc(file, size, with_file=False)
+            toc = read_toc(storage.Ahead(file), size, with_file=False)
         return toc
 
     def _blocks(self, entries: Iterable[Entry], kind: int) -> Iterator[tuple[Entry, int]]:
@@ -207,6 +213,9 @@ class Custom(Container):
             out += self._cut(whole) if h.compression == "none" else [whole]
         return out
 
+    def has_data(self, entry: Entry) -> bool:
+        return next(self._blocks([entry], DATA_BLOCK), None) is not None
+
     def _cut(self, whole: Split) -> list[Split]:
         """Splits at chunk boundaries; only the chunks' lengths are read."""
         file, size = storage.open_file(self.path)
@@ -362,9 +371,3 @@ def tar_header(name: str, size: int) -> bytes:
 def open_container(path: str, cores: int = 1) -> Container:
     return {"Custom": Custom, "Directory": Directory, "Tar": Tar}[detect(path)](path, cores)
 
-
-def entry(toc: Toc, dump_id: int) -> Entry:
-    for e in toc.entries:
-        if e.dump_id == dump_id:
-            return e
-    raise InvalidDumpId(str(dump_id))

@@ -44,8 +44,33 @@ def archive_row(toc: Toc) -> tuple:
     )
 
 
-def toc_rows(toc: Toc) -> list[tuple]:
-    return [(i, *[list(v) if isinstance(v := getattr(e, f), tuple) else v for f in _TOC_FIELDS]) for i, e in enumerate(toc.entries)]
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+
+
+def _arrow(relation: str) -> pa.Schema:
+    return pa.schema([(n, _KINDS[k]) for n, k in (x.split() for x in RELATIONS[relation].split(", "))])
+
+
+def toc_batches(toc: Toc, rows: int = 10_000) -> list[pa.RecordBatch]:
+    schema, out = _arrow("toc"), []
+    for at in range(0, len(toc.entries), rows):
+        part = toc.entries[at : at + rows]
+        columns = [range(at, at + len(part)), *([getattr(e, f) for e in part] for f in _TOC_FIELDS)]
+        out.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
+    return out
+
+
+def _blob_batches(found: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    schema = _arrow("blobs")
+    held, size = [], 0
+    for row in found:
+        held.append(row)
+        size += len(row[3])
+        if size >= _BATCH_BYTES or len(held) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
 class _Part(InputPartition):
@@ -109,7 +134,7 @@ class ArchiveReader(DataSourceReader):
         if self.relation == "archive":
             return [_Part([archive_row(container.toc)])]
         if self.relation == "toc":
-            return [_Part(toc_rows(container.toc))]
+            return [_Part(x) for x in toc_batches(container.toc)] or [_Part(None)]
         entries = [e for e in container.toc.entries if self.dump_ids is None or e.dump_id in self.dump_ids]
         found = _grouped(container.blobs(entries)) if self.relation == "blobs" else container.data(entries)
         return [_Part(x) for x in found] or [_Part(None)]
@@ -118,15 +143,15 @@ class ArchiveReader(DataSourceReader):
         value = partition.value
         if value is None:
             return
-        if self.relation in ("archive", "toc"):
+        if self.relation == "archive":
             yield from value
+        elif self.relation == "toc":
+            yield value
         elif self.relation == "blobs":
             if isinstance(value, Split):
-                for pos, (oid, data) in enumerate(blob_block(value)):
-                    yield value.dump_id, pos, oid, data
+                yield from _blob_batches((value.dump_id, pos, oid, data) for pos, (oid, data) in enumerate(blob_block(value)))
             else:
-                for ref in value:
-                    yield ref.dump_id, ref.pos, ref.oid, b"".join(raw(ref.split))
+                yield from _blob_batches((ref.dump_id, ref.pos, ref.oid, b"".join(raw(ref.split))) for ref in value)
         elif self.relation == "table_lines":
             yield from _batches(value, lines(value), True)
         else:

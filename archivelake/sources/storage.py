@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+import uuid
 
 from pyarrow import fs
 
@@ -38,6 +39,25 @@ def open_file(path: str):
         raise ArchiveIOError(f"{path}: {e}") from e
 
 
+class Ahead:
+    """A file that is read in order, by blocks."""
+
+    def __init__(self, file, block: int = 1 << 20) -> None:
+        self.file, self.block, self.held, self.at, self.passed = file, block, b"", 0, 0
+
+    def tell(self) -> int:
+        return self.passed + self.at
+
+    def read(self, n: int) -> bytes:
+        if self.at + n > len(self.held):
+            rest = self.held[self.at :]
+            self.passed += self.at
+            self.held, self.at = rest + self.file.read(max(n - len(rest), self.block)), 0
+        out = self.held[self.at : self.at + n]
+        self.at += len(out)
+        return out
+
+
 def create(path: str):
     """A new file for writing; its folder is made."""
     system, at = resolve(path)
@@ -50,6 +70,21 @@ def move(source: str, target: str) -> None:
     system.move(a, resolve(target)[1])
 
 
+def put_in_place(source: str, target: str) -> None:
+    """Moves a file or folder to where another may be, which goes only when the new one is there."""
+    if kind(target) is None or kind(source) == kind(target) == "file":
+        move(source, target)
+        return
+    aside = f"{target.rstrip('/')}.old-{uuid.uuid4().hex}"
+    move(target, aside)
+    try:
+        move(source, target)
+    except Exception:
+        move(aside, target)
+        raise
+    remove(aside)
+
+
 def remove(path: str) -> None:
     system, at = resolve(path)
     found = system.get_file_info(at).type

@@ -381,3 +381,46 @@ def test_splits_follow_the_cores(spark, tmp_path, monkeypatch):
             splits = c.data([e for e in c.toc.entries if e.desc == "TABLE DATA"])
             assert most // 2 <= len(splits) <= most + 1
             assert b"".join(x + b"\n" for s in splits for g in containers.lines(s) for x in g).decode() == text
+
+
+@pytest.mark.parametrize("form", ["Custom", "Directory", "Tar"])
+def test_a_save_that_fails_leaves_the_old_archive(spark, tmp_path, form, monkeypatch):
+    path = str(tmp_path / "a")
+    sample(spark).with_format(form).save(spark, path)
+    before = A.load(spark, path).blobs().count()
+    bad = A.new("x").add_blobs(spark.createDataFrame([(0, bytearray(b"x"))], "oid long, data binary")).with_format(form)
+    with pytest.raises(Exception, match="object id 0"):
+        bad.save(spark, path)
+    assert A.load(spark, path).blobs().count() == before
+    move = storage.move
+
+    def stuck(source, target):
+        if source.endswith("/archive"):
+            raise OSError("no room")
+        move(source, target)
+
+    monkeypatch.setattr(storage, "move", stuck)
+    with pytest.raises(OSError, match="no room"):
+        A.new("x").with_format(form).save(spark, path)
+    monkeypatch.undo()
+    assert A.load(spark, path).blobs().count() == before
+    A.new("other").with_format(form).save(spark, path)
+    assert A.load(spark, path).dbname == "other" and [p.name for p in tmp_path.iterdir()] == ["a"]
+
+
+def test_a_line_of_many_chunks_and_a_toc_of_many_blocks(spark, tmp_path):
+    line = "x" * (3 << 20)
+    b = A.new("x").add_entry("TABLE DATA", "public", "t")
+    b = b.set_lines(b.last_id, spark.createDataFrame([("a",), (line,), ("b",)], "line string").coalesce(1))
+    b = b.add_entries({"desc": "TABLE", "tag": f"t{i}", "defn": "-- " + "y" * 90} for i in range(12_000))
+    b.save(spark, path := str(tmp_path / "a"))
+    a = A.load(spark, path)
+    assert [r.line for r in a.table_data("public", "t").collect()] == ["a", line, "b"]
+    assert a.toc().count() == 12_004 and a.toc().where("toc_pos >= 10000").count() == 2_004
+
+
+def test_reading_ahead():
+    raw = bytes(range(256)) * 40
+    ahead = storage.Ahead(io.BytesIO(raw), block=100)
+    got = b"".join(ahead.read(n) for n in [0, 1, 99, 100, 101, 5000, 3, 10**6])
+    assert got == raw and ahead.tell() == len(raw) and ahead.read(5) == b""
