@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces kept in memory by each Python worker; beyond it the memory starts anew.
-MEMORY_PIECES = 800_000
+MEMORY_PIECES = 1_400_000
 
 
 _MARKS = ".,!?;:"
