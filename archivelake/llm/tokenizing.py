@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import re
-from itertools import chain
+from itertools import chain, takewhile
 
 import numpy as np
 
@@ -41,8 +41,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         # Texts with the literal of an added token, or what may become one, are encoded as a whole.
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        sign = os.path.commonprefix(added)
-        self.sign = sign if sign and sign.lower() == sign.upper() else "" if added else None
+        self.sign = "".join(takewhile(lambda c: c.lower() == c.upper(), os.path.commonprefix(added))) if added else None
         self.keep_space = keep_space
         # Without white space, to split at it is much the fastest; punctuation comes off new pieces.
         self.pieces = re.compile(rf" ?{_WORD}|[ \n]*[^ \n]+|[ \n]+").findall if keep_space else str.split
