@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -10,18 +12,26 @@ from ..errors import EntityNotFound, InvalidDumpId, NoData
 from ..functions.copytext import typed
 from ..functions.dates import created_at
 from ..functions.objecttypes import section_of
-from ..functions.wire import Entry, Toc
+from ..functions.wire import Entries, Entry, Toc
 from ..sources import containers
 from ..sources.datasource import register
 
 
+def entry_of(row: Row) -> Entry:
+    """An entry from a row of the relation toc."""
+    values = row.asDict()
+    values.pop("toc_pos")
+    return Entry(**values | {"dependencies": tuple(values["dependencies"])})
+
+
 def load(spark: SparkSession, path: str) -> Archive:
     """Opens an archive in any container; payloads are read when a query needs them."""
     return Archive(spark, path)
 
 
 class Archive:
-    """Relations of one archive.  Only its table of contents is read at once."""
+    """Relations of one archive.  Only its table of contents is read at once; of one of very many
+    entries (``wire.BLOCK``), which tasks then read by blocks, only the places of the blocks."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         register(spark)
@@ -69,6 +79,8 @@ class Archive:
 
     def relation(self, name: str, dump_ids: list[int] | None = None) -> DataFrame:
         reader = self.spark.read.format("pgarchive").option("relation", name).option("cores", self.cores)
+        if isinstance(self.entries, Entries):
+            reader = reader.option("marks", ",".join(map(str, self.entries.marks)))
         if dump_ids is not None:
             reader = reader.option("dump_ids", ",".join(map(str, dump_ids)))
         return reader.load(self.path)
@@ -85,10 +97,23 @@ class Archive:
 
     def lookup(self, desc: str, namespace: str, tag: str) -> Entry | None:
         """The first entry of that type, namespace and tag."""
+        if isinstance(self.entries, Entries):
+            same = [F.col(c).eqNullSafe(F.lit(v)) for c, v in (("desc", desc), ("namespace", namespace), ("tag", tag))]
+            row = self.relation("toc").where(same[0] & same[1] & same[2]).orderBy("toc_pos").first()
+            return row and entry_of(row)
         return next((e for e in self.entries if (e.desc, e.namespace, e.tag) == (desc, namespace, tag)), None)
 
+    def get_entries(self, dump_ids: Iterable[int]) -> dict[int, Entry]:
+        """The first entry of each of these ids that there is."""
+        wanted = set(dump_ids)
+        if isinstance(self.entries, Entries):
+            rows = self.relation("toc").where(F.col("dump_id").isin(*wanted))
+            firsts = rows.groupBy("dump_id").agg(F.min_by(F.struct(*rows.columns), "toc_pos").alias("row")).collect()
+            return {r.dump_id: entry_of(r.row) for r in firsts}
+        return {e.dump_id: e for e in reversed(self.entries) if e.dump_id in wanted}
+
     def get_entry(self, dump_id: int) -> Entry | None:
-        return next((e for e in self.entries if e.dump_id == dump_id), None)
+        return self.get_entries([dump_id]).get(dump_id)
 
     def lookup_rows(self, desc: str, namespace: str, tag: str) -> DataFrame:
         """``lookup`` as a DataFrame of no or one row."""
@@ -148,7 +173,11 @@ class Archive:
 
     def blobs(self) -> DataFrame:
         """dump_id, blob_pos, oid and data of all large objects of entries that hold such, with the entry's place."""
-        held = [(i, e.dump_id) for i, e in enumerate(self.entries) if e.desc in ("BLOBS", "BLOB")]
+        kinds = ("BLOBS", "BLOB")
+        if isinstance(self.entries, Entries):
+            held = [(r.toc_pos, r.dump_id) for r in self.relation("toc").where(F.col("desc").isin(*kinds)).select("toc_pos", "dump_id").orderBy("toc_pos").collect()]
+        else:
+            held = [(i, e.dump_id) for i, e in enumerate(self.entries) if e.desc in kinds]
         if not held:
             return self.relation("blobs", []).withColumn("toc_pos", F.lit(0))
         places = self.spark.createDataFrame(held, "toc_pos int, dump_id int").dropDuplicates(["dump_id"])

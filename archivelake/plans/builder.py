@@ -4,6 +4,9 @@ A builder is immutable; each change gives a new one.  A payload is a DataFrame t
 is encoded where its partitions are: each task stages its part of the stream, and the
 driver sees only sizes and checksums.  It plans files whose offsets it then knows; tasks
 put the parts together, each a file, and the driver renames the result into place.
+
+Entries can also be the rows of a DataFrame, as many as one likes: they are numbered,
+changed, sorted and encoded by tasks.  One that gets a payload joins those of the driver.
 """
 
 from __future__ import annotations
@@ -22,12 +25,16 @@ from ..errors import DataIntegrity, InvalidDumpId, UnsupportedCompression
 from ..functions import dates, objecttypes, versions
 from ..functions.copytext import to_lines
 from ..functions.wire import Entry, Header, Toc, put_entry, put_int, put_preamble
-from ..operators.ordering import ordered
+from ..operators.ordering import numbered, ordered, ranks, sort_columns
 from ..sources import codecs, containers, storage
-from .archive import Archive
+from ..sources.datasource import RELATIONS
+from .archive import Archive, entry_of
 
 #: Bytes of a chunk of a payload in a custom archive.
 CHUNK = 1 << 20
+#: Columns of entries that are rows, and the values of those that aren't given.
+_FIELDS = [tuple(x.split()) for x in RELATIONS["toc"].split(", ")]
+_DEFAULTS = {n: v for n, v in vars(Entry(0, "")).items() if n not in ("dump_id", "desc", "dependencies")} | {"dependencies": []}
 _STAGED = "part int, file string, stored long, size long, adler long, crc long"
 
 
@@ -52,6 +59,11 @@ class ArchiveBuilder:
     toc: Toc
     data: dict[int, DataFrame | bytes] = field(default_factory=dict)
     objects: dict[int, tuple[DataFrame, ...]] = field(default_factory=dict)
+    #: Further entries, with the columns of the relation toc, none of which has a payload; how many there
+    #: are, and the highest id that one has had.
+    rows: DataFrame | None = None
+    n_rows: int = 0
+    last_row: int = 0
 
     @staticmethod
     def of(archive: Archive) -> ArchiveBuilder:
@@ -65,12 +77,14 @@ class ArchiveBuilder:
 
     @property
     def entries(self) -> tuple[Entry, ...]:
+        """The entries that the driver holds: all but ``rows``."""
         return self.toc.entries
 
     @property
     def last_id(self) -> int:
         """The id of the entry that was added last, the highest."""
-        return max((e.dump_id for e in self.entries), default=0)
+        ids = [e.dump_id for e in self.entries] + [self.last_row] * (self.rows is not None)
+        return max(ids, default=0)
 
     def _with(self, **changes) -> ArchiveBuilder:
         return replace(self, toc=replace(self.toc, **changes))
@@ -86,8 +100,38 @@ class ArchiveBuilder:
         new_ones = [Entry(first + i, section=objecttypes.section(v["desc"]), **v) for i, v in enumerate(values)]
         return self._with(entries=(*self.entries, *new_ones))
 
+    def add_rows(self, rows: DataFrame, *order: str, path: str) -> ArchiveBuilder:
+        """More entries, one for each row, with the next ids in the order of the columns ``order``.
+        Columns with the names of an entry's fields (``desc`` at least) are its values, others go.
+        The numbered rows are written to ``path``, which must stay until ``save``."""
+        first = self.last_id + 1
+        found = numbered(rows, [F.col(c) for c in order], path)
+        values = {f: F.lit(v) for f, v in _DEFAULTS.items()} | {"section": objecttypes.section_of(F.col("desc"))}
+        values |= {c: F.col(c) for c in rows.columns if c in _DEFAULTS or c == "desc"}
+        values |= {"dump_id": F.col("nth") + first, "toc_pos": F.col("nth")}
+        found = found.select(*(values[n].cast(kind).alias(n) for n, kind in _FIELDS))
+        count = found.count()
+        return replace(self, rows=self.rows.union(found) if self.rows else found, n_rows=self.n_rows + count, last_row=first + count - 1)
+
+    def _held(self, dump_id: int) -> ArchiveBuilder:
+        """A builder whose driver holds the entry of that id, if it is one of ``rows``."""
+        if self.rows is None or any(e.dump_id == dump_id for e in self.entries):
+            return self
+        found = self.rows.where(F.col("dump_id") == dump_id).first()
+        if found is None:
+            return self
+        at = sum(e.dump_id < dump_id for e in self.entries)
+        out = self._with(entries=(*self.entries[:at], entry_of(found), *self.entries[at:]))
+        return replace(out, rows=self.rows.where(F.col("dump_id") != dump_id), n_rows=self.n_rows - 1)
+
     def update(self, dump_id: int, **changes) -> ArchiveBuilder:
         """The first entry of that id with other values; unchanged if there is none."""
+        if self.rows is not None and all(e.dump_id != dump_id for e in self.entries):
+            # Lazily: no row is looked for.
+            kinds = dict(_FIELDS)
+            values = {n: F.array(*map(F.lit, v)) if isinstance(v, tuple) else F.lit(v) for n, v in changes.items()}
+            changed = {n: F.when(F.col("dump_id") == dump_id, v.cast(kinds[n])).otherwise(F.col(n)) for n, v in values.items()}
+            return replace(self, rows=self.rows.select(*(changed.get(n, F.col(n)).alias(n) for n, _ in _FIELDS)))
         out, done = [], False
         for e in self.entries:
             out.append(e.updated(**changes) if e.dump_id == dump_id and not done else e)
@@ -95,6 +139,7 @@ class ArchiveBuilder:
         return self._with(entries=tuple(out))
 
     def _payload(self, dump_id: int, payload: DataFrame | bytes) -> ArchiveBuilder:
+        self = self._held(dump_id)  # noqa: PLW0642
         if all(e.dump_id != dump_id for e in self.entries):
             raise InvalidDumpId(str(dump_id))
         out = self.update(dump_id, had_dumper=True, data_state="NotSet")
@@ -123,7 +168,7 @@ class ArchiveBuilder:
         return replace(builder, objects=builder.objects | {dump_id: (*builder.objects.get(dump_id, ()), rows)})
 
     def sorted(self) -> ArchiveBuilder:
-        """Entries in the order in which ``save`` writes them."""
+        """Entries in the order in which ``save`` writes them; ``rows`` are put among them only there."""
         return self._with(entries=tuple(ordered(self.entries)))
 
     def with_format(self, name: str) -> ArchiveBuilder:
@@ -293,18 +338,69 @@ def _save_custom(spark: SparkSession, b: ArchiveBuilder, path: str, staging: str
                 tail = b"".join(_framed(iter([codecs.tail(h.compression, False, staged.sums)]), n, CHUNK)) + tail
             blocks[e.dump_id] = head, staged.files, tail, len(head) + staged.stored + len(tail)
     entries = [_settled(e, e.dump_id in blocks).updated(filename=None) for e in b.entries]
-    preamble = put_preamble(replace(b.toc, header=h, entries=tuple(entries)))
-    at = len(preamble) + sum(len(put_entry(e, h, False)) for e in entries)
+    preamble = put_preamble(replace(b.toc, header=h, entries=tuple(entries)), b.n_rows)
+    listed, size = ([], sum(len(put_entry(e, h, False)) for e in entries)) if b.rows is None else _stage_entries(spark, b, entries, h, False, staging)
+    at = len(preamble) + size
     offsets = {}
     for dump_id, block in blocks.items():
         offsets[dump_id] = at
         at += block[3]
     whole = storage.join(staging, "archive")
-    head = preamble + b"".join(put_entry(e.updated(offset=offsets.get(e.dump_id, 0)), h, False) for e in entries)
-    _assemble(spark, {whole: [head, *(x for first, files, last, _ in blocks.values() for x in (first, *files, last))]})
+    if b.rows is None:
+        head = [preamble + b"".join(put_entry(e.updated(offset=offsets.get(e.dump_id, 0)), h, False) for e in entries)]
+    else:
+        head = [preamble, *(x if isinstance(x, str) else offsets.get(x, 0).to_bytes(h.off_size, "little") for x in listed)]
+    _assemble(spark, {whole: [*head, *(x for first, files, last, _ in blocks.values() for x in (first, *files, last))]})
     storage.put_in_place(whole, path)
 
 
+def _stage_entries(spark: SparkSession, b: ArchiveBuilder, entries: list[Entry], h: Header, with_file: bool, staging: str) -> tuple[list[str | int], int]:
+    """The entries of a builder with rows, in order: staged files and, between them, ids of those of the
+    driver's entries whose offset is due there; and the size of all."""
+    # Ties come in the order in which the driver holds its entries, or else of ids.
+    held, most = [], 0
+    for i, e in enumerate(entries):
+        most = max(most, e.dump_id)
+        held.append((*(i if n == "toc_pos" else list(v) if isinstance(v := getattr(e, n), tuple) else v for n, _ in _FIELDS), most, True))
+    all_rows = spark.createDataFrame(held, f"{RELATIONS['toc']}, place long, held boolean") if held else None
+    rows = b.rows.withColumns({"place": F.col("dump_id").cast("long"), "held": F.lit(False)})
+    rows = all_rows.union(rows) if held else rows
+    rows, order = ranks(rows, [*sort_columns()[:-1], F.col("place"), F.col("toc_pos")], storage.join(staging, "order"))
+    names = [n for n, _ in _FIELDS if n != "toc_pos"]
+    cut = h.off_size
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, out, found = TaskContext.get().partitionId(), None, []
+        try:
+            for batch in batches:
+                for *values, is_held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    e = Entry(**dict(zip(names, values, strict=True)))
+                    if out is None:
+                        file, stored = storage.join(staging, f"entries-{part}-{uuid.uuid4().hex}"), 0
+                        out = storage.create(file)
+                    piece = put_entry(e, h, with_file)
+                    due = is_held and not with_file
+                    out.write(piece[:-cut] if due else piece)
+                    stored += len(piece)
+                    if due:
+                        out.close()
+                        out = None
+                        found.append((part, len(found), file, stored, e.dump_id))
+        finally:
+            if out is not None:
+                out.close()
+        if out is not None:
+            found.append((part, len(found), file, stored, None))
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=["part", "n", "file", "stored", "due"])
+
+    staged = rows.orderBy(*order).select(*names, "held").mapInArrow(stage, "part int, n int, file string, stored long, due int").collect()
+    out: list[str | int] = []
+    for r in sorted(staged, key=lambda r: (r.part, r.n)):
+        out += [r.file] if r.due is None else [r.file, r.due]
+    return out, sum(r.stored for r in staged)
+
+
 def _settled(e: Entry, has_payload: bool) -> Entry:
     """An entry whose state says whether it has a payload."""
     if has_payload:
@@ -333,8 +429,11 @@ def _members(spark: SparkSession, b: ArchiveBuilder, staging: str) -> dict[str,
         entries.append(_settled(e, name is not None).updated(filename=name))
     # A table of contents beside its files says "Tar".
     toc = replace(b.toc, header=replace(h, format="Tar"), entries=tuple(entries))
-    data = put_preamble(toc) + b"".join(put_entry(e, toc.header, True) for e in entries)
-    return {"toc.dat": [data]} | dict(sorted(out.items()))
+    if b.rows is None:
+        data = [put_preamble(toc) + b"".join(put_entry(e, toc.header, True) for e in entries)]
+    else:
+        data = [put_preamble(toc, b.n_rows), *_stage_entries(spark, b, entries, toc.header, True, staging)[0]]
+    return {"toc.dat": data} | dict(sorted(out.items()))
 
 
 def _stage_objects(objects: tuple[DataFrame, ...], staging: str, name: str, codec: str) -> tuple[list[str], list[str]]:

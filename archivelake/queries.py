@@ -112,17 +112,16 @@ _PART_SQL = f"""SELECT 3 + row_number() OVER (ORDER BY p_partkey) AS dump_id, [{
   CASE WHEN p_partkey % 4 <> 0 THEN lower(p_brand) END AS namespace, CASE WHEN p_partkey % 11 <> 0 THEN p_name END AS tag FROM part"""
 
 
-def _part_rows(spark: SparkSession, sf_dir: str) -> list:
+def _part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*[F.lit(k) for k in _KINDS])
-    return (
-        _read(spark, sf_dir, "part").orderBy("p_partkey")
-        .select(F.get(kinds, F.col("p_size") % 7).alias("desc"), F.when(F.col("p_partkey") % 4 != 0, F.lower("p_brand")).alias("namespace"), F.when(F.col("p_partkey") % 11 != 0, F.col("p_name")).alias("tag"))
-        .collect()
-    )
+    rows = _read(spark, sf_dir, "part").select(
+        "p_partkey", F.get(kinds, F.col("p_size") % 7).alias("desc"), F.when(F.col("p_partkey") % 4 != 0, F.lower("p_brand")).alias("namespace"), F.when(F.col("p_partkey") % 11 != 0, F.col("p_name")).alias("tag")
+    )
+    return rows.withColumns({"owner": F.lit("postgres"), "defn": F.concat(F.lit("-- "), F.coalesce("tag", F.lit("None")))})
 
 
 def _part_builder(spark: SparkSession, sf_dir: str) -> ArchiveBuilder:
-    return new("testdb").add_entries(r.asDict() | {"owner": "postgres", "defn": f"-- {r.tag}"} for r in _part_rows(spark, sf_dir))
+    return new("testdb").add_rows(_part_rows(spark, sf_dir), "p_partkey", path=f"{folder(spark)}/{uuid.uuid4().hex}")
 
 
 def _part_toc(spark: SparkSession, sf_dir: str, form: str = "Custom") -> Archive:
@@ -152,7 +151,7 @@ _PRIORITY = f"coalesce((SELECT priority FROM {_TYPES_SQL} WHERE t.kind = a.kind)
 def q_toc_phase1(spark: SparkSession, sf_dir: str) -> DataFrame:
     # From a file in the order of ids: the rows of the archive before sorting.
     toc = _part_toc(spark, sf_dir).toc().withColumn("toc_pos", F.col("dump_id"))
-    return phase1(toc).select("dump_id", F.col("sort_pos").cast("long").alias("sort_pos"))
+    return phase1(toc, f"{folder(spark)}/{uuid.uuid4().hex}").select("dump_id", "sort_pos")
 
 
 _FK = {"nation": ["region"], "customer": ["nation"], "supplier": ["nation"], "orders": ["customer"], "lineitem": ["orders", "part", "supplier"]}
@@ -215,15 +214,16 @@ def q_toc_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE kind = 'TABLE' AND (namespace, tag) = (SELECT (namespace, tag) FROM {_ALL_SQL} WHERE kind = 'TABLE' AND namespace IS NOT NULL AND tag IS NOT NULL ORDER BY dump_id LIMIT 1) GROUP BY ALL""")
 def q_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = _part_toc(spark, sf_dir)
-    tables = [e for e in archive.entries if e.desc == "TABLE" and e.namespace and e.tag]
-    first = min(tables, key=lambda e: e.dump_id)
+    tables = archive.toc().where("desc = 'TABLE' and namespace <> '' and tag <> ''")
+    first = tables.orderBy("dump_id").first()
     return archive.lookup_rows("TABLE", first.namespace, first.tag).select("dump_id", F.col("desc").alias("desc_"), "namespace", "tag")
 
 
 @query(f"SELECT CAST(dump_id AS INTEGER) AS dump_id, CASE WHEN dump_id = 10 THEN 'renamed' ELSE tag END AS tag, CASE WHEN dump_id = 10 THEN 'x' WHEN dump_id > 3 THEN 'postgres' END AS owner FROM {_ALL_SQL}")
 def q_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> ArchiveBuilder:
-        return _part_builder(spark, sf_dir).update(10, tag="renamed", owner="x").update(10**6, tag="nobody")
+        b = _part_builder(spark, sf_dir).update(10, tag="renamed", owner="x")
+        return b.update(b.last_id + 1, tag="nobody")
 
     return saved(spark, (sf_dir, "update"), build, "Tar").toc().select("dump_id", "tag", "owner")
 
@@ -359,9 +359,10 @@ def q_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT CAST(w AS INTEGER) AS wanted, kind AS desc_, tag FROM (VALUES (1), (4), (10), (14), (1000000), (-1)) v(w) LEFT JOIN {_ALL_SQL} a ON dump_id = w")
 def q_get_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive, rows = _part_toc(spark, sf_dir), []
-    for wanted in (1, 4, 10, 14, 10**6, -1):
-        e = archive.get_entry(wanted)
+    ids, rows = (1, 4, 10, 14, 10**6, -1), []
+    found = _part_toc(spark, sf_dir).get_entries(ids)
+    for wanted in ids:
+        e = found.get(wanted)
         rows.append((wanted, e and e.desc, e and e.tag))
     return spark.createDataFrame(rows, "wanted int, desc_ string, tag string")
 

@@ -157,10 +157,16 @@ class Container:
 
     format = "Custom"
 
-    def __init__(self, path: str, cores: int = 1) -> None:
-        self.path, self.cores = path, cores
+    def __init__(self, path: str, cores: int = 1, marks: tuple[int, ...] | None = None) -> None:
+        self.path, self.cores, self.marks = path, cores, marks
         self.toc = self._toc()
 
+    def _read_toc(self, path: str, start: int, size: int, with_file: bool) -> Toc:
+        opened = storage.Place(path, start, size)
+        file, _ = opened()
+        with file:
+            return read_toc(storage.Ahead(file), size, with_file, opened, self.marks)
+
     def split_bytes(self, size: int) -> int:
         return min(SPLIT_BYTES, max(LEAST_SPLIT, -(-size // self.cores)))
 
@@ -185,9 +191,8 @@ class Custom(Container):
 
     def _toc(self) -> Toc:
         file, size = storage.open_file(self.path)
-        with file:
-            toc = read_toc(storage.Ahead(file), size, with_file=False)
-        return toc
+        file.close()
+        return self._read_toc(self.path, 0, size, with_file=False)
 
     def _blocks(self, entries: Iterable[Entry], kind: int) -> Iterator[tuple[Entry, int]]:
         """Entries with a block of that kind, and where its content begins."""
@@ -258,7 +263,7 @@ class Directory(Container):
         found = self._open("toc.dat")
         if found is None:
             raise InvalidHeader(f"no toc.dat in {self.path}")
-        toc = read_toc(io.BytesIO(self._bytes(found)), found[2], with_file=True)
+        toc = self._read_toc(*found, with_file=True)
         return replace(toc, header=replace(toc.header, format=self.format))
 
     def _bytes(self, found) -> bytes:
@@ -313,9 +318,9 @@ class Tar(Directory):
 
     format = "Tar"
 
-    def __init__(self, path: str, cores: int = 1) -> None:
+    def __init__(self, path: str, cores: int = 1, marks: tuple[int, ...] | None = None) -> None:
         self.members = members(path)
-        super().__init__(path, cores)
+        super().__init__(path, cores, marks)
 
     def _open(self, name: str):
         return (self.path, *self.members[name]) if name in self.members else None
@@ -368,6 +373,7 @@ def tar_header(name: str, size: int) -> bytes:
     return bytes(block)
 
 
-def open_container(path: str, cores: int = 1) -> Container:
-    return {"Custom": Custom, "Directory": Directory, "Tar": Tar}[detect(path)](path, cores)
+def open_container(path: str, cores: int = 1, marks: tuple[int, ...] | None = None) -> Container:
+    """marks: of the blocks of a large table of contents, where they are known."""
+    return {"Custom": Custom, "Directory": Directory, "Tar": Tar}[detect(path)](path, cores, marks)
 

@@ -2,14 +2,15 @@
 
 Options: ``relation`` is one of RELATIONS, ``dump_ids`` restricts payloads to some
 entries (a comma-separated list), ``cores`` is how many splits a payload should have at
-least if it is large enough.  Equality and IN filters on dump_id are pushed down
+least if it is large enough, ``marks`` where the blocks of a large table of contents lie,
+which else are looked for anew; a task reads a block.  Equality and IN filters on dump_id are pushed down
 too where the session allows filters on Python sources.  Payloads are relations of
 their own, so that a query that needs none reads none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.types import StructType
 
 from ..errors import ArchiveError, DataIntegrity
-from ..functions.wire import Toc
+from ..functions.wire import Entries, Entry, Toc
 from .containers import BlobRef, Split, blob_block, lines, open_container, raw
 
 RELATIONS = {
@@ -51,13 +52,11 @@ def _arrow(relation: str) -> pa.Schema:
     return pa.schema([(n, _KINDS[k]) for n, k in (x.split() for x in RELATIONS[relation].split(", "))])
 
 
-def toc_batches(toc: Toc, rows: int = 10_000) -> list[pa.RecordBatch]:
-    schema, out = _arrow("toc"), []
-    for at in range(0, len(toc.entries), rows):
-        part = toc.entries[at : at + rows]
-        columns = [range(at, at + len(part)), *([getattr(e, f) for e in part] for f in _TOC_FIELDS)]
-        out.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
-    return out
+def toc_batch(at: int, part: Sequence[Entry]) -> pa.RecordBatch:
+    """Entries that follow each other from place ``at`` on."""
+    schema = _arrow("toc")
+    columns = [range(at, at + len(part)), *([getattr(e, f) for e in part] for f in _TOC_FIELDS)]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _blob_batches(found: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +118,8 @@ def _grouped(found: list[Split | BlobRef]) -> list[Split | list[BlobRef]]:
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, path: str, relation: str, dump_ids: set[int] | None, cores: int = 1) -> None:
-        self.path, self.relation, self.dump_ids, self.cores = path, relation, dump_ids, cores
+    def __init__(self, path: str, relation: str, dump_ids: set[int] | None, cores: int = 1, marks: tuple[int, ...] | None = None) -> None:
+        self.path, self.relation, self.dump_ids, self.cores, self.marks = path, relation, dump_ids, cores, marks
 
     def pushFilters(self, filters: list[Filter]):  # noqa: N802
         for f in filters:
@@ -130,11 +129,14 @@ class ArchiveReader(DataSourceReader):
             yield f  # rows are filtered again: an entry is what can be skipped
 
     def partitions(self) -> list[InputPartition]:
-        container = open_container(self.path, self.cores)
+        container = open_container(self.path, self.cores, self.marks)
         if self.relation == "archive":
             return [_Part([archive_row(container.toc)])]
         if self.relation == "toc":
-            return [_Part(x) for x in toc_batches(container.toc)] or [_Part(None)]
+            found = container.toc.entries
+            if isinstance(found, Entries):
+                return [_Part((at, x)) for at, x in found.blocks()]
+            return [_Part(toc_batch(0, found))] if found else [_Part(None)]
         entries = [e for e in container.toc.entries if self.dump_ids is None or e.dump_id in self.dump_ids]
         found = _grouped(container.blobs(entries)) if self.relation == "blobs" else container.data(entries)
         return [_Part(x) for x in found] or [_Part(None)]
@@ -146,7 +148,7 @@ class ArchiveReader(DataSourceReader):
         if self.relation == "archive":
             yield from value
         elif self.relation == "toc":
-            yield value
+            yield toc_batch(value[0], list(value[1])) if isinstance(value, tuple) else value
         elif self.relation == "blobs":
             if isinstance(value, Split):
                 yield from _blob_batches((value.dump_id, pos, oid, data) for pos, (oid, data) in enumerate(blob_block(value)))
@@ -172,7 +174,7 @@ class ArchiveSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         ids = self.options.get("dump_ids")
         wanted = None if ids is None else {int(x) for x in ids.split(",") if x}
-        return ArchiveReader(self.options["path"], self.options.get("relation", "toc"), wanted, int(self.options.get("cores", "1")))
+        return ArchiveReader(self.options["path"], self.options.get("relation", "toc"), wanted, int(self.options.get("cores", "1")), tuple(int(x) for x in self.options.get("marks", "").split(",") if x) or None)
 
 
 def register(spark: SparkSession) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import re
 import uuid
+from dataclasses import dataclass
 
 from pyarrow import fs
 
@@ -39,6 +40,40 @@ def open_file(path: str):
         raise ArchiveIOError(f"{path}: {e}") from e
 
 
+@dataclass(frozen=True)
+class Place:
+    """A run of bytes of a file; a call opens it: (seekable file, size)."""
+
+    path: str
+    start: int
+    size: int
+
+    def __call__(self) -> tuple[Part, int]:
+        return Part(self), self.size
+
+
+class Part:
+    """A run of bytes of a file as a file of its own."""
+
+    def __init__(self, place: Place) -> None:
+        self.file, self.start, self.size, self.at = open_file(place.path)[0], place.start, place.size, 0
+
+    def __enter__(self) -> Part:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.file.close()
+
+    def seek(self, at: int) -> None:
+        self.at = at
+
+    def read(self, n: int) -> bytes:
+        self.file.seek(self.start + self.at)
+        data = self.file.read(max(0, min(n, self.size - self.at)))
+        self.at += len(data)
+        return data
+
+
 class Ahead:
     """A file that is read in order, by blocks."""
 

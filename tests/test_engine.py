@@ -424,3 +424,49 @@ def test_reading_ahead():
     ahead = storage.Ahead(io.BytesIO(raw), block=100)
     got = b"".join(ahead.read(n) for n in [0, 1, 99, 100, 101, 5000, 3, 10**6])
     assert got == raw and ahead.tell() == len(raw) and ahead.read(5) == b""
+
+
+# Tables of contents that no driver holds.
+
+
+@pytest.mark.parametrize("form", ["Custom", "Directory", "Tar"])
+def test_entries_that_are_rows_equal_entries(spark, tmp_path, monkeypatch, form):
+    rng = random.Random(5)
+    values = []
+    for i in range(60):
+        deps = rng.sample(range(1, 70), rng.choice([0, 0, 0, 1, 2]))
+        values.append({"desc": rng.choice(["TABLE", "VIEW", "NOT KNOWN", "ACL"]), "namespace": rng.choice([None, "a", "b"]), "tag": rng.choice([None, "", "é", f"t{i}"]), "defn": "x" * i, "dependencies": tuple(deps)})
+    rows = spark.createDataFrame([(i, *(list(x) if isinstance(x, tuple) else x for x in v.values())) for i, v in enumerate(values)], "i int, desc string, namespace string, tag string, defn string, dependencies array<int>")
+    for with_deps in (True, False):
+        few = A.new("x").add_entries(v | {} if with_deps else v | {"dependencies": ()} for v in values)
+        many = A.new("x").add_rows((rows if with_deps else rows.drop("dependencies")).repartition(7), "i", path=str(tmp_path / f"numbered{with_deps}"))
+        assert many.last_id == few.last_id == 63 and [e.dump_id for e in many.entries] == [1, 2, 3]
+        both = []
+        for k, b in enumerate((few, many)):
+            b = b.update(10, tag="renamed", dependencies=(4, 5)).update(999, tag="nobody").add_entry("TABLE DATA", "public", "t", dependencies=(7,))
+            b = b.set_bytes(b.last_id, b"a\nb\n").set_bytes(9, b"c\n")
+            with pytest.raises(errors.InvalidDumpId):
+                b.set_bytes(999, b"")
+            b.with_format(form).save(spark, path := str(tmp_path / f"{with_deps}{k}"))
+            both.append(A.load(spark, path))
+        assert both[0].entries and [e.updated(offset=0) for e in both[0].entries] == [e.updated(offset=0) for e in both[1].entries]
+        assert all([r.line for r in a.table_data("public", "t").collect()] == ["a", "b"] and bytes(a.entry_data(9).first().data) == b"c\n" for a in both)
+        held, told = both[0].entries, [r.asDict() for r in both[0].toc().collect()]
+        monkeypatch.setattr(wire, "BLOCK", 7)
+        large = A.load(spark, both[0].path)
+        assert isinstance(large.entries, wire.Entries) and tuple(large.entries) == held and large.entries[-1] == held[-1] and large.entries[5:9] == held[5:9]
+        assert len(large.entries.marks) == len(range(0, len(held), 7)) + 1
+        assert large.get_entries([9, 10, 999]) == {9: both[0].get_entry(9), 10: both[0].get_entry(10)} and large.get_entry(-1) is None
+        assert large.lookup("TABLE DATA", "public", "t") == both[0].lookup("TABLE DATA", "public", "t")
+        assert sorted((r.asDict() for r in large.toc().collect()), key=lambda r: r["toc_pos"]) == told
+        monkeypatch.undo()
+
+
+def test_a_large_toc_that_is_cut_short(spark, tmp_path, monkeypatch):
+    sample(spark).save(spark, str(path := tmp_path / "a"))
+    raw = path.read_bytes()
+    monkeypatch.setattr(wire, "BLOCK", 2)
+    assert lines_of(A.load(spark, str(path))) == ["1\tAlice", "2\tBob", "3\tCharlie"] and A.load(spark, str(path)).blobs().count() == 3
+    path.write_bytes(raw[:250])
+    with pytest.raises(errors.ArchiveIOError):
+        A.load(spark, str(path))
