@@ -408,8 +408,9 @@ def _settled(e: Entry, has_payload: bool) -> Entry:
     return e.updated(data_state="NoData" if e.data_state == "Set" else e.data_state)
 
 
-def _members(spark: SparkSession, b: ArchiveBuilder, staging: str) -> dict[str, list[str | bytes]]:
-    """The files of a directory by name: what they are put together from, staged files and bytes."""
+def _members(spark: SparkSession, b: ArchiveBuilder, staging: str, objects: bool = True) -> dict[str, list[str | bytes]]:
+    """The files of a directory by name: what they are put together from, staged files and bytes;
+    objects: with those of large objects, not only their lists."""
     h = b.toc.header
     extension = codecs.EXTENSIONS[h.compression]
     out: dict[str, list[str | bytes]] = {}
@@ -418,9 +419,12 @@ def _members(spark: SparkSession, b: ArchiveBuilder, staging: str) -> dict[str,
         name = None
         if e.dump_id in b.objects and e.desc == "BLOBS":
             name = f"blobs_{e.dump_id}.toc"
-            listed, files = _stage_objects(b.objects[e.dump_id], staging, f"blobs{e.dump_id}", h.compression)
+            if objects:
+                listed, files = _stage_objects(b.objects[e.dump_id], staging, f"blobs{e.dump_id}", h.compression)
+                out |= {posixpath.basename(f): [f] for f in files}
+            else:
+                listed = _stage_lists(b.objects[e.dump_id], staging, f"blobs{e.dump_id}")
             out[name] = listed
-            out |= {posixpath.basename(f): [f] for f in files}
         elif e.dump_id in b.data:
             name = f"{e.dump_id}.dat"
             staged = _stage(spark, b.data[e.dump_id], staging, f"data{e.dump_id}", h.compression, None)
@@ -465,6 +469,62 @@ def _stage_objects(objects: tuple[DataFrame, ...], staging: str, name: str, code
     return lists, files
 
 
+def _stage_lists(objects: tuple[DataFrame, ...], staging: str, name: str) -> list[str]:
+    """The staged parts of a list of large objects."""
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        listed = storage.join(staging, f"{name}-{part}-{uuid.uuid4().hex}")
+        with storage.create(listed) as out:
+            for batch in batches:
+                for oid in batch.column(0).to_pylist():
+                    _check(oid)
+                    out.write(f"{oid} blob_{oid}.dat\n".encode())
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([listed])], names=["part", "listed"])
+
+    out = []
+    for df in objects:
+        rows = df.select("oid").mapInArrow(stage, "part int, listed string").collect()
+        out += [r.listed for r in sorted(rows, key=lambda r: r.part)]
+    return out
+
+
+def _stage_tar_members(objects: list[DataFrame], staging: str) -> list[str]:
+    """Large objects as members of a tar, headers and all, in the order of their names: staged files
+    with many members each.  Of objects of one name, the last one counts."""
+    rows = None
+    for i, df in enumerate(objects):
+        # Where a row stands in its DataFrame, which is as it was listed.
+        df = df.select("oid", "data", F.lit(i).alias("which"), F.monotonically_increasing_id().alias("nth"))
+        rows = df if rows is None else rows.union(df)
+    name = F.concat(F.lit("blob_"), F.col("oid"), F.lit(".dat"))
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), None
+        file = storage.join(staging, f"members-{part}-{uuid.uuid4().hex}")
+        with storage.create(file) as out:
+
+            def put(name: str, data: bytes) -> None:
+                out.write(containers.tar_header(name, len(data)))
+                out.write(data)
+                out.write(b"\0" * (-len(data) % containers.TAR_BLOCK))
+
+            for batch in batches:
+                for name, data in zip(*batch.columns, strict=True):
+                    name, data = name.as_py(), data.as_py() or b""
+                    if held and held[0] != name:
+                        put(*held)
+                    held = name, data
+            if held:
+                put(*held)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file])], names=["part", "file"])
+
+    # All rows of a name are in one partition.
+    sorted_rows = rows.withColumn("name", name).repartitionByRange("name").sortWithinPartitions("name", "which", "nth")
+    staged = sorted_rows.select("name", "data").mapInArrow(stage, "part int, file string").collect()
+    return [r.file for r in sorted(staged, key=lambda r: r.part)]
+
+
 def _save_directory(spark: SparkSession, b: ArchiveBuilder, path: str, staging: str) -> None:
     folder = storage.join(staging, "archive")
     _assemble(spark, {storage.join(folder, name): parts for name, parts in _members(spark, b, staging).items()})
@@ -474,7 +534,14 @@ def _save_directory(spark: SparkSession, b: ArchiveBuilder, path: str, staging:
 def _save_tar(spark: SparkSession, b: ArchiveBuilder, path: str, staging: str) -> None:
     whole = storage.join(staging, "archive")
     plan: list[bytes | str] = []
-    for name, parts in (_members(spark, b, staging) | {"restore.sql": [containers.RESTORE]}).items():
+    named = _members(spark, b, staging, objects=False) | {"restore.sql": [containers.RESTORE]}
+    held = [df for e in b.entries if e.desc == "BLOBS" for df in b.objects.get(e.dump_id, ())]
+    members = _stage_tar_members(held, staging) if held else []
+    for name, parts in named.items():
+        if name != "toc.dat" and name > "blob_":
+            # Lists and the script come behind the objects, payloads (by number) before.
+            plan += members
+            members = []
         size = sum(len(x) if isinstance(x, bytes) else storage.open_file(x)[1] for x in parts)
         plan += [containers.tar_header(name, size), *parts, b"\0" * (-size % containers.TAR_BLOCK)]
     _assemble(spark, {whole: [*plan, b"\0" * 2 * containers.TAR_BLOCK]})

@@ -16,6 +16,7 @@ from archivelake import errors
 from archivelake.functions import objecttypes, versions, wire
 from archivelake.functions.copytext import to_lines, typed
 from archivelake.operators import ordering
+from archivelake.plans import builder
 from archivelake.sources import codecs, containers, storage
 
 FORMS = [("Custom", c) for c in codecs.EXTENSIONS] + [("Directory", c) for c in codecs.EXTENSIONS] + [("Tar", "none")]
@@ -470,3 +471,20 @@ def test_a_large_toc_that_is_cut_short(spark, tmp_path, monkeypatch):
     path.write_bytes(raw[:250])
     with pytest.raises(errors.ArchiveIOError):
         A.load(spark, str(path))
+
+
+def test_a_tar_of_many_objects_is_put_together_from_few_parts(spark, tmp_path, monkeypatch):
+    plans = []
+    put = builder._assemble
+    monkeypatch.setattr(builder, "_assemble", lambda s, plan: (plans.append(plan), put(s, plan))[1])
+    objects = spark.range(1, 2001, numPartitions=5).selectExpr("id AS oid", "encode(repeat('x', cast(id % 700 AS int)), 'UTF-8') AS data")
+    again = spark.createDataFrame([(7, bytearray(b"last"))], "oid long, data binary")
+    b = sample(spark).add_blobs(objects).add_blobs(again).with_format("Tar")
+    b.save(spark, path := str(tmp_path / "t"))
+    assert all(len(parts) < 100 for plan in plans for parts in plan.values())
+    with tarfile.open(path) as t:
+        names = t.getnames()
+        assert names[0] == "toc.dat" and names[-1] == "restore.sql" and names[1:-1] == sorted(names[1:-1]) and len(set(names)) == len(names) == 2003 + 4
+        assert t.extractfile("blob_7.dat").read() == b"last" and t.extractfile("blob_701.dat").read() == b"x"
+    got = sorted((r.blob_pos, r.oid, len(r.data)) for r in A.load(spark, path).blobs().collect())
+    assert got == [(0, 16601, 5), (1, 16602, 7), (2, 4_000_000_000, 0), *((i + 2, i, i % 700 if i != 7 else 4) for i in range(1, 2001)), (2003, 7, 4)]
