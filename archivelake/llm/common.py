@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
+from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +65,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Deletes what ``written`` gave, once all that reads it is written itself."""
+    for df in frames:
+        name = _PATHS.pop(df)
+        _LEFT.remove(("path", name))
+        _delete(spark, name)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def release() -> None:
@@ -75,8 +92,20 @@ def release() -> None:
         trim(0)
 
 
+def releasing(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that gives memory back when its task ends."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        release()
+
+    return run
+
+
 #: What operators of this process have written beside their results: (kind, name).
 _LEFT: list[tuple[str, str]] = []
+#: Where the DataFrames lie that ``written`` gave.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def fresh_table(what: str) -> str:
@@ -94,5 +123,4 @@ def clean(spark: SparkSession) -> None:
         if kind == "table":
             spark.sql(f"DROP TABLE IF EXISTS {name}")
         else:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            _delete(spark, name)

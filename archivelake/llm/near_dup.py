@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, place, written
+from .common import discard, pick, place, releasing, written
 from .components import connected
 from .textkernel import Words, mix, slices, window_hashes
 
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 })
 
     texts = pick(docs, "doc_id", "text")
-    return texts.withColumn("tag", F.xxhash64("text")).mapInArrow(signed, "doc_id long, tag long, n long, hi long, lo long, sketch array<long>")
+    return texts.withColumn("tag", F.xxhash64("text")).mapInArrow(releasing(signed), "doc_id long, tag long, n long, hi long, lo long, sketch array<long>")
 
 
 def least_shared(n: Column, percent: int) -> Column:
@@ -111,14 +111,20 @@ def least_shared(n: Column, percent: int) -> Column:
 
 
 def _survivors(classes: DataFrame, percent: int) -> DataFrame:
-    """cid of the classes whose retained values are shared often enough, after two rounds."""
+    """The classes whose retained values are shared often enough, after two rounds."""
+    spark, before = classes.sparkSession, None
     postings = classes.select("cid", "n", F.explode("sketch").alias("v"))
     for _ in range(2):
         shared = postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
         postings = postings.join(shared, "v", "left_semi")
         alive = postings.groupBy("cid").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= least_shared(F.col("n"), percent))
         postings = written(postings.join(alive.select("cid"), "cid", "left_semi"), "postings")
-    return postings.select("cid").distinct()
+        if before is not None:
+            discard(spark, before)
+        before = postings
+    alive = written(classes.join(postings.select("cid").distinct(), "cid", "left_semi"), "survivors")
+    discard(spark, postings)
+    return alive
 
 
 def _sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
@@ -138,7 +144,7 @@ def _sets(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
                 own = [i for i, s in enumerate(sets) if _digest(s) == (part.column(1)[i].as_py(), part.column(2)[i].as_py())]
                 yield pa.RecordBatch.from_pydict({"cid": part.column(0).take(pa.array(own, pa.int64())), "values": pa.array([sets[i].tobytes() for i in own], pa.binary())})
 
-    return found.mapInArrow(full, "cid long, values binary")
+    return found.mapInArrow(releasing(full), "cid long, values binary")
 
 
 class _Block:
@@ -211,7 +217,7 @@ def _block_links(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between cids of ``classes(cid, n, rep, hi, lo, sketch)`` that connect all that are connected."""
-    alive = written(classes.join(_survivors(classes, percent), "cid", "left_semi"), "survivors")
+    alive = _survivors(classes, percent)
     sets = written(_sets(docs, alive.select("cid", "rep", "hi", "lo"), n), "sets")
     heads = alive.select("cid", "n", F.get("sketch", F.lit(0)).alias("head"), F.explode(F.slice("sketch", 1, HEADS)).alias("v"))
     sign = F.xxhash64("cid")
@@ -226,7 +232,9 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     first = members.select("v", "cid", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block"), F.lit(0).alias("side"))
     found = written(_block_links(first.join(sets, "cid"), ["block"], percent), "links")
     large = members.where("blocks > 1").select("v", "cid", "n", "head")
+    spark = docs.sparkSession
     if large.isEmpty():
+        discard(spark, alive, sets, kept, members)
         return found
 
     roots = connected(found)
@@ -248,7 +256,9 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     left = placed.withColumnRenamed("block", "i").join(pairs, ["v", "i"]).select("v", "i", "j", "cid", "comp", F.lit(0).alias("side"))
     right = placed.withColumnRenamed("block", "j").join(pairs.where("i < j"), ["v", "j"]).select("v", "i", "j", "cid", "comp", F.lit(1).alias("side"))
     rest = _block_links(left.union(right).join(sets, "cid"), ["i", "j"], percent)
-    return found.union(written(rest, "links"))
+    rest = written(rest, "links")
+    discard(spark, alive, sets, kept, members, placed)
+    return found.union(rest)
 
 
 def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 import re
 
-from archivelake.llm import near_dup, queries
+from archivelake.llm import common, near_dup, queries
 from archivelake.llm.components import connected
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,3 +105,12 @@ def test_very_many_null_ids_are_no_square(make_docs):
     got = near_dup.components(make_docs(rows), 3, 85).collect()
     assert len(got) == 5000 and all(r.component_id is None and r.kept for r in got)
     assert near_dup.dedup(make_docs(rows)).count() == 2500
+
+
+def test_tables_on_the_way_go_when_they_are_read(spark):
+    texts = [" ".join(f"w{(i * 7 + k) % 97}" for k in range(60)) + f" {i % 3}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = len(common._LEFT)
+    assert near_dup.components(docs).count() == 40
+    left = [path.rsplit("/", 1)[1].split("-")[0] for _, path in common._LEFT[before:]]
+    assert "classes" in left and not {"postings", "survivors", "sets", "lists", "members"} & set(left)
