@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import pick, written
+from .common import pick, releasing, written
 from .tokenizing import encoder, runs
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -194,8 +194,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 1024
         if rows:
             yield _batch(rows, columns)
 
-    pieces = written(pick(docs, "doc_id", "text").mapInArrow(packed, kinds), "pieces")
+    pieces = written(pick(docs, "doc_id", "text").mapInArrow(releasing(packed), kinds), "pieces")
     left = pieces.where("sequence_id is null")
     packers = max(1, -(-left.count() // packer_pieces))
-    out = pieces.where("sequence_id is not null").union(left.repartition(packers).mapInArrow(repacked, kinds))
+    out = pieces.where("sequence_id is not null").union(left.repartition(packers).mapInArrow(releasing(repacked), kinds))
     return out if with_ids else out.drop("ids")

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick, place
+from .common import pick, place, releasing
 from .textkernel import Rolling, Words, covered, ranges, same_ranges, same_words, slices, twins
 
 LEAST_WORDS = 10
@@ -168,4 +168,4 @@ def keep(docs: DataFrame) -> DataFrame:
                 yield part.filter(ok)
 
     flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return flat.mapInArrow(kept, flat.schema).toDF(*docs.columns)
+    return flat.mapInArrow(releasing(kept), flat.schema).toDF(*docs.columns)

@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick, place
+from .common import pick, place, releasing
 from .textkernel import LOWER, slices, texts_of
 
 MOST_LAYER = 16 << 20
@@ -513,4 +513,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
     flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return flat.mapInArrow(redacted, flat.schema).toDF(*docs.columns)
+    return flat.mapInArrow(releasing(redacted), flat.schema).toDF(*docs.columns)

@@ -74,3 +74,13 @@ def test_nulls_ties_and_clashing_columns(spark, make_docs, sf_dir):
     assert sorted((str(r.x0), r.x1[:8]) for r in kept) == [("1", "w0x0 w0x"), ("2", "w5x0 w5x"), ("5", "u0 u1 u2"), ("None", "[SECRET]")]
     assert all(r.x4 == len(r.x1) for r in kept if r.x0 is None)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= 4
+
+
+def test_memory_is_given_back_when_a_task_ends(monkeypatch):
+    from archivelake.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "release", lambda: seen.append("released"))
+    for x in common.releasing(lambda batches: (seen.append(b) or b for b in batches))(iter([1, 2])):
+        assert seen == list(range(1, x + 1))
+    assert seen == [1, 2, "released"]
