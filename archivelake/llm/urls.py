@@ -31,8 +31,8 @@ MOST_LABELLED = 100_000
 RULES = [
     ("block", "com", "/en/"),
     ("allow", "example.com", "/en/7"),
-    ("block", "net", "/de/"),
-    ("allow", "example.net", "/de/8"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
 RULES = [(v, h, p.removeprefix("/")) for v, h, p in RULES]

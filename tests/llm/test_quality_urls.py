@@ -119,3 +119,21 @@ def test_url_query_against_one_at_a_time(spark, sf_dir):
         fits = [(len(h + p), v, f"{h}/{p}") for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
         verdict = max(fits)[1] if fits else ("block" if urls.scores(weights, [host], [path])[0] > 0 else "allow")
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, max(fits)[2] if fits else None, verdict)
+
+
+def test_each_rule_has_the_word_of_the_contract(spark, tmp_path):
+    """The list is written out here, apart from the one in code."""
+    cases = {
+        "http://a.com/en/x": ("com/en/", "block"),
+        "http://example.com/en/6": ("com/en/", "block"),
+        "http://www.example.com/en/7x": ("example.com/en/7", "allow"),
+        "http://net/de/": ("net/de/", "allow"),
+        "http://cheap-pills.example.net/de/37": ("net/de/", "allow"),
+        "http://example.net/de/8": ("example.net/de/8", "block"),
+        "http://museum-guide.example.net/de/85?q": ("example.net/de/8", "block"),
+        "http://x.org/es/": ("org/es/", "block"),
+    }
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    rows = queries.op10_url_filter(spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in rows] == list(cases.values())
