@@ -5,15 +5,20 @@ from __future__ import annotations
 import gc
 import os
 import re
+import string
 from itertools import chain, takewhile
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces kept in memory by each Python worker; beyond it the memory starts anew.
 MEMORY_PIECES = 1_400_000
 
+#: Words whose ids are put together at once.
+BLOCK_WORDS = 1 << 17
 
-_MARKS = ".,!?;:"
+_MARKS = string.punctuation
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 _ODD_ASCII = [c for c in _ODD if c.isascii()]
@@ -24,7 +29,8 @@ class PieceEncoder:
     """Encodes texts piece by piece; equal to encoding each text at once.
 
     A piece is the white space before a word and the word; punctuation behind a word
-    of Latin letters is a piece of its own.  Both vocabularies split a text at these
+    of Latin letters is a piece of its own, and such a word is learnt in lower case where the
+    vocabulary's normalizer lowers it.  Both vocabularies split a text at these
     places before merging, so that pieces don't influence each other, as long as a
     text has no white space but blanks and line ends and no literal of an added token,
     which the library takes for that token.  Any other text is encoded as a whole.  New words of letters are encoded many at a time, one after the other in
@@ -43,13 +49,26 @@ class PieceEncoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.sign = "".join(takewhile(lambda c: c.lower() == c.upper(), os.path.commonprefix(added))) if added else None
         self.keep_space = keep_space
-        # Without white space, to split at it is much the fastest; punctuation comes off new pieces.
-        self.pieces = re.compile(rf" ?{_WORD}|[ \n]*[^ \n]+|[ \n]+").findall if keep_space else str.split
+        self.pieces = re.compile(rf" ?{_WORD}|[ \n]*[^ \n]+|[ \n]+").findall
+        normalizer = self.tokenizer.normalizer
+        self.lowers = normalizer is not None and normalizer.normalize_str("AZÀÖØÞ") == "azàöøþ"
+        self.plain = self._plain() if self.lowers and not keep_space else None
         self.known: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.marked = np.zeros(max(vocabulary.values()) + 1, bool)
         self.marked[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if keep_space else t.endswith("</w>"))]] = True
 
+    def _plain(self):
+        """A tokenizer with the same model for small letters of Latin-1 between blanks, which need neither
+        normalizer nor patterns; None if this vocabulary doesn't split such words as it does."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        plain = Tokenizer(self.tokenizer.model)
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        text = " ".join([string.ascii_lowercase, "zßàöøÿ", "ª", "µ", "º", "s", "t", "re", "ve", "m", "ll", "d", "straße"])
+        alike = plain.pre_tokenizer.pre_tokenize_str(text) == self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+        return plain if alike and plain.encode(text).ids == self.tokenizer.encode(text, add_special_tokens=False).ids else None
+
     def odd(self, text: str) -> bool:
         """Whether a text has white space but blanks and line ends, or may hold an added token."""
         return any(c in text for c in (_ODD_ASCII if text.isascii() else _ODD)) or self.sign is not None and self.sign in text
@@ -59,7 +78,9 @@ class PieceEncoder:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """The ids of words of letters, with a blank before each if white space is kept."""
-        ids = np.array(self.tokenizer.encode_batch_fast([("" if self.keep_space else " ").join(words)], add_special_tokens=False)[0].ids, "<u4")
+        text = ("" if self.keep_space else " ").join(words)
+        tokenizer = self.plain if self.plain and text.islower() and (text.isascii() or max(text) <= "ÿ") else self.tokenizer
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         at = np.flatnonzero(self.marked[ids])
         if len(at) != len(words):
             return self._ids(words)
@@ -68,6 +89,13 @@ class PieceEncoder:
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _learn(self, new: set[str]) -> None:
+        gc.disable()  # nothing here makes cycles, and many short-lived objects would set off searches for them
+        try:
+            self._learn_all(new)
+        finally:
+            gc.enable()
+
+    def _learn_all(self, new: set[str]) -> None:
         made = []
         if self.keep_space:
             words = [p for p in new if p[0] == " " and p[1:].isalpha()]
@@ -75,12 +103,14 @@ class PieceEncoder:
             found, rest = set(), set()
             for p in new:
                 word = p if p.isalpha() else p.rstrip(_MARKS)
-                if word == p or not _LETTERS(word):
-                    (found if word.isalpha() else rest).add(p)
+                if (word == p and (word.islower() or not self.lowers)) or not _LETTERS(word):
+                    (found if p.isalpha() else rest).add(p)
                 else:
-                    made.append((p, word, p[len(word) :]))
-                    found.add(word)
-                    rest.add(p[len(word) :])
+                    base, end = word.lower() if self.lowers else word, p[len(word) :]
+                    found.add(base)
+                    rest.add(end)
+                    if p != base:
+                        made.append((p, base, end))
             words, new = list(found.difference(self.known)), rest.difference(self.known)
         for at in range(0, len(words), 512):
             part = words[at : at + 512]
@@ -92,16 +122,42 @@ class PieceEncoder:
         for piece, word, end in made:
             self.known[piece] = self.known[word] + self.known[end]
 
+    def _dealt(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that aren't odd, without white space; a word that they share is looked up once for all of them."""
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        codes = words.values.dictionary_encode()
+        pieces, at = codes.dictionary.to_numpy(zero_copy_only=False).tolist(), codes.indices.to_numpy()
+        found = list(map(self.known.get, pieces))
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            self._learn({pieces[i] for i in new})
+            for i in new:
+                found[i] = self.known[pieces[i]]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        raw = []
+        for a in range(0, len(at), BLOCK_WORDS):
+            part = at[a : a + BLOCK_WORDS]
+            n = sizes[part]
+            ends = np.cumsum(n)
+            raw.append(ids[np.repeat(first[part] - ends + n, n) + np.arange(ends[-1])].tobytes())
+        joined = b"".join(raw)
+        cuts = (4 * np.concatenate([[0], np.cumsum(sizes[at])])[words.offsets.to_numpy()]).tolist()
+        return [joined[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > MEMORY_PIECES:
             self.known = {}
+        if not self.keep_space:
+            odd = [self.odd(t) for t in texts]
+            whole, split = ([t for t, o in zip(texts, odd, strict=True) if o is kind] for kind in (True, False))
+            sides = {True: iter(self._ids(whole)), False: iter(self._dealt(split))}
+            return [next(sides[o]) for o in odd]
         split = [None if self.odd(t) else self.pieces(t) for t in texts]
         new = set(chain.from_iterable(s for s in split if s)).difference(self.known)
         if new:
-            gc.disable()  # nothing here makes cycles, and many short-lived objects would set off searches for them
             self._learn(new)
-            gc.enable()
         find = self.known.__getitem__
         whole = iter(self._ids([t for t, s in zip(texts, split, strict=True) if s is None]))
         return [next(whole) if s is None else b"".join(map(find, s)) for s in split]

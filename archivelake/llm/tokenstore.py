@@ -171,7 +171,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, keep_s
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in runs(texts):
+            for a, b in runs(texts, 1 << 22):
                 for doc_id, encoded in zip(doc_ids[a:b], encode([t or "" for t in texts[a:b]]), strict=True):
                     keys.append(doc_id)
                     ids.append(encoded + end)

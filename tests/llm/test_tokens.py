@@ -8,7 +8,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from archivelake.llm import packing, queries, tokenstore
+from archivelake.llm import packing, queries, tokenizing, tokenstore
 from archivelake.llm.tokenizing import PieceEncoder
 
 ODD = ["", None, " ", "\n\n", "a  b\t\n\nc", "it's  we'll\u00a0x", "e\u0301 ΣΑΣ Σ", "<|endoftext|> x", "a<|startoftext|>b hello <|endoftext|> world", "A <|ENDOFTEXT|> <| b", "日本語 ½ ²", "x" * 5000, " \n x \n\n y  ", "\x1c a\x85b", "😀😀 ok"]
@@ -154,3 +154,46 @@ def test_level_is_the_least_sum_of_squares():
         got = packer.level(size)
         assert (min(costs)[0], -got) in costs
         packer.put((0, 0, size))
+
+
+def test_a_word_is_encoded_once_whatever_its_case_and_marks(monkeypatch):
+    encoder = PieceEncoder(P.path("word_bpe_49k.json"), False)
+    seen, words, ids = [], encoder._words, encoder._ids
+    monkeypatch.setattr(encoder, "_words", lambda part: seen.extend(part) or words(part))
+    monkeypatch.setattr(encoder, "_ids", lambda part: seen.extend(part) or ids(part))
+    texts = ["Qzxv qzxv, QZXV!", "qzxv*** Qzxv*** qzxv?! Éqzö ÉQZÖ."]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == plain("word_bpe_49k.json")(texts)
+    assert seen.count("qzxv") == 1 and len(seen) == len(set(seen)) and all(w == w.lower() for w in seen)
+    assert not {w for w in seen if len(w) > 4}
+
+
+LETTERS = [*"abzAZsSdDmM", "ß", "é", "É", "Þ", "ÿ", "µ", "ª", "Ÿ", "İ", "ı", "ſ", "Σ", "ς", "Ł", "ǅ", "ﬁ", "e\u0301", "\u0301", "日", "K", "Å"]
+MARKS = [*"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "'s", "'RE", "\u0338", "¡", "»", "²", "½", "…", "7", "٣"]
+
+
+@pytest.mark.parametrize("block", [3, 1 << 20])
+def test_pieces_of_any_letters_and_marks(block, monkeypatch):
+    monkeypatch.setattr(tokenizing, "BLOCK_WORDS", block)
+    random = np.random.default_rng(7)
+    texts = ["".join(random.choice([*LETTERS, *MARKS, *" " * 14, *"\n" * 4], int(random.integers(0, 90)))) for _ in range(1500)]
+    texts += ["".join(random.choice([*"abzAZéÉßÞÿ" * 3, *MARKS[:32], *" " * 25], int(random.integers(0, 90)))) for _ in range(1500)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in PieceEncoder(P.path("word_bpe_49k.json"), False).encode(texts)]
+    for text, ids, want in zip(texts, got, plain("word_bpe_49k.json")(texts), strict=True):
+        assert ids == want, repr(text)
+
+
+def test_nothing_to_encode():
+    encoder = PieceEncoder(P.path("word_bpe_49k.json"), False)
+    assert encoder.encode([]) == [] and encoder.encode(["", " \n "]) == [b"", b""] and encoder.encode(["\u00a0", ""]) == [b"", b""]
+
+
+def test_every_small_letter_without_normalizer_and_patterns():
+    """Words of any small letters of Latin-1, alone and in a run with letters beyond it."""
+    encoder = PieceEncoder(P.path("word_bpe_49k.json"), False)
+    assert encoder.plain and not PieceEncoder(P.path("byte_bpe_50k.json"), True).plain
+    letters = [c for c in map(chr, range(256)) if c.isalpha() and c == c.lower()]
+    random = np.random.default_rng(3)
+    words = letters + ["".join(random.choice(letters, int(random.integers(1, 12)))) for _ in range(3000)]
+    for more in ([], ["ł", "Ÿz", "日本", "ς"]):
+        got = PieceEncoder(P.path("word_bpe_49k.json"), False).encode([" ".join(words + more)])[0]
+        assert np.frombuffer(got, "<u4").tolist() == plain("word_bpe_49k.json")([" ".join(words + more)])[0]
