@@ -33,6 +33,8 @@ from .tokenizing import encoder, runs
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Pieces that one packer of the second round gets, about; with ids, some 2 KB each.
 PACKER_PIECES = 1 << 14
+#: Characters of texts that are encoded at once, about: a word is looked up once for all of them.
+RUN_CHARS = 1 << 23
 #: Share of a packer's ids that windows left open may have as padding.
 MOST_PADDING = 0.005
 _ARROW = pa.schema([(n, pa.int64()) for n in PIECES.replace(" long", "").split(", ")])
@@ -142,7 +144,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 1024
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in runs(texts):
+            for a, b in runs(texts, RUN_CHARS):
                 for doc_id, ids in zip(doc_ids[a:b], encode([t or "" for t in texts[a:b]]), strict=True):
                     ids += end
                     total = len(ids) // 4

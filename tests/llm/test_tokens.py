@@ -197,3 +197,35 @@ def test_every_small_letter_without_normalizer_and_patterns():
     for more in ([], ["ł", "Ÿz", "日本", "ς"]):
         got = PieceEncoder(P.path("word_bpe_49k.json"), False).encode([" ".join(words + more)])[0]
         assert np.frombuffer(got, "<u4").tolist() == plain("word_bpe_49k.json")([" ".join(words + more)])[0]
+
+
+def test_a_word_behind_a_blank_is_encoded_once_whatever_its_marks(monkeypatch):
+    """The byte-level vocabulary: a word is learnt once with a blank before it and once without, on any line."""
+    encoder = PieceEncoder(P.path("byte_bpe_50k.json"), True)
+    seen, kinds = [], {k: getattr(encoder, k) for k in ("_words", "_lines", "_ids") if hasattr(encoder, k)}
+    for kind, f in kinds.items():
+        monkeypatch.setattr(encoder, kind, lambda part, f=f: seen.extend(part) or f(part))
+    texts = ["Qzxv qzxv, Qzxv!\nQzxv qzxv)", "Qzxv*** Qzxv*** qzxv?! qzxv7... Éqzö ÉQZÖ\n\nQzxv, Éqzö;"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == plain("byte_bpe_50k.json")(texts)
+    words = [w for w in seen if "z" in w.lower()]
+    assert sorted(words) == sorted([" qzxv", " Qzxv", "Qzxv", " qzxv7", " Éqzö", " ÉQZÖ"])
+
+
+@pytest.mark.parametrize("block", [3, 1 << 20])
+def test_kept_space_of_any_letters_and_marks(block, monkeypatch):
+    monkeypatch.setattr(tokenizing, "BLOCK_WORDS", block)
+    random = np.random.default_rng(11)
+    sets = [[*LETTERS, *MARKS, *" " * 14, *"\n" * 4], [*"abzAZéÉßÞÿ×÷" * 3, *MARKS, *" " * 25, "\n"], [*"ab.é", " ", "\n"], [*"ab", *MARKS[:32], "\x01", "\x01b", "\x01n ", *" " * 9], [" ", "\n", "\n", "bn", "r", "\t"]]
+    texts = ["".join(random.choice(some, int(random.integers(0, 60)))) for some in sets for _ in range(1200)]
+    texts += ["    if x:\n        return  1\n\n\n", "   ", "\n", " \n\n a", "a \n \nb  ", " " * 700 + "x", "\n" * 700]
+    got = [np.frombuffer(x, "<u4").tolist() for x in PieceEncoder(P.path("byte_bpe_50k.json"), True).encode(texts)]
+    for text, ids, want in zip(texts, got, plain("byte_bpe_50k.json")(texts), strict=True):
+        assert ids == want, repr(text)
+
+
+def test_nothing_to_encode_with_space():
+    encoder = PieceEncoder(P.path("byte_bpe_50k.json"), True)
+    assert encoder.lined and encoder.encode([]) == [] and encoder.encode(["", ""]) == [b"", b""]
+    for letters in ([c for c in map(chr, range(256)) if c.isalpha()], ["ł", "Ÿz", "日本", "ς", "\u0301", "ª"]):
+        text = " ".join([*letters, *(a + b for a in letters for b in letters)])
+        assert np.frombuffer(PieceEncoder(P.path("byte_bpe_50k.json"), True).encode([text])[0], "<u4").tolist() == plain("byte_bpe_50k.json")([text])[0]
