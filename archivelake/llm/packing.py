@@ -28,13 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import pick, releasing, written
-from .tokenizing import encoder, runs
+from .tokenizing import MEMORY_PIECES, encoder, runs
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Pieces that one packer of the second round gets, about; with ids, some 2 KB each.
 PACKER_PIECES = 1 << 14
-#: Characters of texts that are encoded at once, about: a word is looked up once for all of them.
-RUN_CHARS = 1 << 23
+#: Characters of texts that are encoded at once, about: a word is looked up once for all of them, and
+#: what that takes on the way, some 15 to 20 bytes for each, is missed beside the heap.
+RUN_CHARS = 1 << 20
 #: Share of a packer's ids that windows left open may have as padding.
 MOST_PADDING = 0.005
 _ARROW = pa.schema([(n, pa.int64()) for n in PIECES.replace(" long", "").split(", ")])
@@ -122,11 +123,12 @@ def _batch(rows: list[tuple], columns: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), columns, strict=True)], schema=columns)
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 1024, with_ids: bool = True, packer_pieces: int = PACKER_PIECES) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 1024, with_ids: bool = True, packer_pieces: int = PACKER_PIECES, memory_pieces: int = MEMORY_PIECES) -> DataFrame:
     """One row per piece of a document (see PIECES); ``sequence_id`` and ``offset``
     say where it lies; ``with_ids`` adds ``ids``, its ids as little-endian unsigned
     32-bit integers.  A sequence is to be padded to ``capacity`` unless its length is a
-    power of two.
+    power of two.  With fewer ``memory_pieces``, a worker takes less memory, some 150 bytes for
+    each, and more time, and the ids are the same.
 
     Texts aren't shuffled: each partition is packed by itself, and only the pieces of
     windows that it leaves open are dealt anew.  Sequences are numbered from the
@@ -136,7 +138,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 1024
     kinds = PIECES + ", ids binary"
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, True).encode
+        encode = encoder(vocabulary, True, memory_pieces).encode
         end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 40
         packer = SumOfSquares(capacity)

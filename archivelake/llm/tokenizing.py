@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept in memory by each Python worker; beyond it the memory starts anew.
+#: Pieces kept in memory by each Python worker, unless its operator says how many; beyond it the memory
+#: starts anew.  A piece takes some 150 bytes.
 MEMORY_PIECES = 1_400_000
 
 #: Words whose ids are put together at once.
@@ -61,6 +62,7 @@ class PieceEncoder:
         self.lowers = normalizer is not None and normalizer.normalize_str("AZÀÖØÞ") == "azàöøþ"
         self.plain = self._plain() if self.lowers and not keep_space else None
         self.lined = self._lined() if keep_space else None
+        self.most = MEMORY_PIECES
         self.known: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.marked = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -200,7 +202,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > MEMORY_PIECES:
+        if len(self.known) > self.most:
             self.known = {}
         odd = [self.odd(t) for t in texts]
         whole, split = ([t for t, o in zip(texts, odd, strict=True) if o is kind] for kind in (True, False))
@@ -238,10 +240,12 @@ def _trimmed(words: pa.LargeStringArray) -> tuple[pa.LargeStringArray, pa.LargeS
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str, keep_space: bool) -> PieceEncoder:
-    """This worker's encoder for a vocabulary file; workers are reused from task to task."""
+def encoder(path: str, keep_space: bool, most: int = MEMORY_PIECES) -> PieceEncoder:
+    """This worker's encoder for a vocabulary file, which from now on keeps ``most`` pieces and those of
+    one call; workers are reused from task to task."""
     if (path, keep_space) not in _ENCODERS:
         _ENCODERS[path, keep_space] = PieceEncoder(path, keep_space)
+    _ENCODERS[path, keep_space].most = most
     return _ENCODERS[path, keep_space]
 
 

@@ -28,6 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from archivelake.llm import line_dedup, near_dup, packing, quality, secret_scan
 from archivelake.llm.common import bounded_batches, table, written
 
+#: Pieces of texts that a worker of the last stage remembers: few, as it runs beside a heap that the
+#: shuffles of the stages before have filled.
+MEMORY_PIECES = 250_000
+
 #: Tokenizers and exact set overlaps are beyond SQL; the tests hold run() against plain Python.
 ORACLE_SQL = None
 
@@ -53,7 +57,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), memory_pieces=MEMORY_PIECES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

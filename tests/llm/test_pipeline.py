@@ -1,5 +1,8 @@
 """The corpus pipeline, stage by stage, against plain Python."""
 
+import itertools
+import string
+
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
@@ -84,3 +87,25 @@ def test_memory_is_given_back_when_a_task_ends(monkeypatch):
     for x in common.releasing(lambda batches: (seen.append(b) or b for b in batches))(iter([1, 2])):
         assert seen == list(range(1, x + 1))
     assert seen == [1, 2, "released"]
+
+
+def test_a_worker_that_has_packed_remembers_few_pieces(spark, make_docs, sf_dir):
+    """Workers stay, beside a full heap: 500,000 words that differ must not stay with them."""
+    words = map("".join, itertools.product(string.ascii_lowercase, repeat=5))
+    texts = [" ".join(itertools.islice(words, 1000)) for _ in range(500)]
+    pieces = corpus_pipeline.pack_tokens(spark, make_docs(texts).coalesce(1), sf_dir).collect()
+
+    def kept(batches):
+        import time
+
+        from archivelake.llm import tokenizing
+
+        for _ in batches:
+            time.sleep(0.1)
+            yield pa.RecordBatch.from_pydict({"n": [len(e.known) for e in tokenizing._ENCODERS.values() if e.keep_space]}, schema=pa.schema([("n", pa.int64())]))
+
+    most = max(r.n for r in spark.range(0, 40, 1, 40).mapInArrow(kept, "n long").collect())
+    assert 0 < most < 450_000  # 250,000 and those of a run of a million characters
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    encoded = {k: e.ids for k, e in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False))}
+    assert test_tokens.check_packing(pieces, encoded, 0) < 0.01
