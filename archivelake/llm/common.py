@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 #: Rows of a batch that goes to Python, where the session keeps Spark's default of 10,000: whole
 #: texts are kilobytes each, and batches take memory beside the heap.
 BATCH_ROWS = 2_000
+#: Documents of which a task that writes a table on the way tells, at least, as long as each core has CORE_TASKS
+#: of them: Hadoop starts three processes for each file of a local folder, which take longer than a few rows.
+TASK_DOCS = 2_000
+CORE_TASKS = 6
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -61,10 +65,17 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return path
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, what: str, docs: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors.
+
+    With ``docs``, the number of documents that its rows are about, partitions of few of them share a
+    task and a file; not for rows that Python makes with their task's number.
+    """
     path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    if docs is None:
+        df.write.parquet(path)
+    else:
+        df.coalesce(max(CORE_TASKS * df.sparkSession.sparkContext.defaultParallelism, -(-docs // TASK_DOCS))).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out

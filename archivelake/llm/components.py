@@ -14,11 +14,12 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(mark), F.sum(mark.bitwiseAND(F.lit((1 << 31) - 1)))).first())
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, docs: int | None = None) -> DataFrame:
     """node and root, the smallest node of its component, of every node of ``edges(a, b)``
     but the roots themselves.  Rounds grow with the logarithm of a component's size;
-    minima are combined before each shuffle, and no node's edges meet in one row."""
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    minima are combined before each shuffle, and no node's edges meet in one row.
+    ``docs``: see ``written``."""
+    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", docs)
     before = None
     while (now := _state(edges)) != before:
         before = now
@@ -29,5 +30,5 @@ def connected(edges: DataFrame) -> DataFrame:
         # Small star: a node and what is below it go to the least of these.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         down = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(down.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        edges = written(down.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges", docs)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -110,7 +110,7 @@ def least_shared(n: Column, percent: int) -> Column:
     return F.when(n >= SKETCH, expected).otherwise(F.greatest(F.least(F.ceil(n * percent / 100) - beyond, F.lit(SKETCH)), F.lit(1)))
 
 
-def _survivors(classes: DataFrame, percent: int) -> DataFrame:
+def _survivors(classes: DataFrame, percent: int, count: int | None) -> DataFrame:
     """The classes whose retained values are shared often enough, after two rounds."""
     spark, before = classes.sparkSession, None
     postings = classes.select("cid", "n", F.explode("sketch").alias("v"))
@@ -118,11 +118,11 @@ def _survivors(classes: DataFrame, percent: int) -> DataFrame:
         shared = postings.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
         postings = postings.join(shared, "v", "left_semi")
         alive = postings.groupBy("cid").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= least_shared(F.col("n"), percent))
-        postings = written(postings.join(alive.select("cid"), "cid", "left_semi"), "postings")
+        postings = written(postings.join(alive.select("cid"), "cid", "left_semi"), "postings", count)
         if before is not None:
             discard(spark, before)
         before = postings
-    alive = written(classes.join(postings.select("cid").distinct(), "cid", "left_semi"), "survivors")
+    alive = written(classes.join(postings.select("cid").distinct(), "cid", "left_semi"), "survivors", count)
     discard(spark, postings)
     return alive
 
@@ -215,10 +215,11 @@ def _block_links(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return rows.groupBy("v", *keys).applyInPandas(links, "a long, b long")
 
 
-def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between cids of ``classes(cid, n, rep, hi, lo, sketch)`` that connect all that are connected."""
-    alive = _survivors(classes, percent)
-    sets = written(_sets(docs, alive.select("cid", "rep", "hi", "lo"), n), "sets")
+def links(docs: DataFrame, classes: DataFrame, n: int, percent: int, count: int | None = None) -> DataFrame:
+    """Confirmed links (a, b) between cids of ``classes(cid, n, rep, hi, lo, sketch)`` that connect all that are connected.
+    ``count``: of documents."""
+    alive = _survivors(classes, percent, count)
+    sets = written(_sets(docs, alive.select("cid", "rep", "hi", "lo"), n), "sets", count)
     heads = alive.select("cid", "n", F.get("sketch", F.lit(0)).alias("head"), F.explode(F.slice("sketch", 1, HEADS)).alias("v"))
     sign = F.xxhash64("cid")
     stats = heads.groupBy("v").agg(
@@ -227,17 +228,17 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     stats = stats.where("c > 1 and not (low = high and low <> v)")
     # Of lists with equal members, that of the smallest value, in the order of the sketches.
     order = F.struct((F.col("v") < 0).alias("upper"), "v")
-    kept = written(stats.groupBy("c", "size", "x", "s").agg(F.min(order).alias("o")).select(F.col("o.v").alias("v"), F.greatest(F.ceil(F.col("c") / BLOCK), F.when(F.col("c") > 2, F.ceil(F.col("size") / BLOCK_VALUES)).otherwise(1)).cast("int").alias("blocks")), "lists")
-    members = written(heads.join(kept, "v"), "members")
+    kept = written(stats.groupBy("c", "size", "x", "s").agg(F.min(order).alias("o")).select(F.col("o.v").alias("v"), F.greatest(F.ceil(F.col("c") / BLOCK), F.when(F.col("c") > 2, F.ceil(F.col("size") / BLOCK_VALUES)).otherwise(1)).cast("int").alias("blocks")), "lists", count)
+    members = written(heads.join(kept, "v"), "members", count)
     first = members.select("v", "cid", F.pmod(F.xxhash64("cid"), F.col("blocks")).alias("block"), F.lit(0).alias("side"))
-    found = written(_block_links(first.join(sets, "cid"), ["block"], percent), "links")
+    found = written(_block_links(first.join(sets, "cid"), ["block"], percent), "links", count)
     large = members.where("blocks > 1").select("v", "cid", "n", "head")
     spark = docs.sparkSession
     if large.isEmpty():
         discard(spark, alive, sets, kept, members)
         return found
 
-    roots = connected(found)
+    roots = connected(found, count)
     placed = large.join(roots, F.col("cid") == F.col("node"), "left").select("v", "cid", "n", "head", F.coalesce("root", "cid").alias("comp"))
     # Members of one smallest value and component keep together, in blocks of their own if they
     # fill one; the others are dealt by these.  Sizes are counted before the shuffle.
@@ -247,7 +248,7 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     units = units.join(small, "v", "left")
     own = F.xxhash64("head", "comp", F.pmod(F.xxhash64("cid"), F.ceil("fill").cast("long")))
     block = F.when(F.col("fill") < 0.5, F.pmod(F.xxhash64("head", "comp"), F.col("small"))).otherwise(own.bitwiseOR(F.lit(1 << 32)))
-    placed = written(placed.join(units, ["v", "head", "comp"]).select("v", "cid", "head", "comp", block.alias("block")), "blocks")
+    placed = written(placed.join(units, ["v", "head", "comp"]).select("v", "cid", "head", "comp", block.alias("block")), "blocks", count)
     ends = placed.groupBy("v", "block").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("head").alias("h1"), F.max("head").alias("h2"))
     other = ends.select("v", F.col("block").alias("j"), F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
     one_component = F.expr("c1 = c2 and d1 = d2 and c1 = d1")
@@ -256,27 +257,28 @@ def links(docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFram
     left = placed.withColumnRenamed("block", "i").join(pairs, ["v", "i"]).select("v", "i", "j", "cid", "comp", F.lit(0).alias("side"))
     right = placed.withColumnRenamed("block", "j").join(pairs.where("i < j"), ["v", "j"]).select("v", "i", "j", "cid", "comp", F.lit(1).alias("side"))
     rest = _block_links(left.union(right).join(sets, "cid"), ["i", "j"], percent)
-    rest = written(rest, "links")
+    rest = written(rest, "links", count)
     discard(spark, alive, sets, kept, members, placed)
     return found.union(rest)
 
 
-def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, tag, n, root (null for an empty set) and component of every document."""
+def _components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
+    """doc_id, tag, n, root (null for an empty set) and component of every document, and their number."""
     signed = written(signatures(docs, n), "signatures")
+    count = signed.count()
     grouped = signed.where("n > 0").groupBy("hi", "lo").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    roots = connected(links(docs, classes, n, percent))
+    classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes", count)
+    roots = connected(links(docs, classes, n, percent, count), count)
     rooted = classes.join(roots, F.col("cid") == F.col("node"), "left").select("hi", "lo", "rep", F.coalesce("root", "cid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep.doc_id").alias("component"))
     known = rooted.join(least, "root").select("hi", "lo", "root", "component")
     # An empty set has digest (0, 0) and no class.
-    return signed.drop("sketch").join(known, ["hi", "lo"], "left").select("doc_id", "tag", "n", "root", "component")
+    return signed.drop("sketch").join(known, ["hi", "lo"], "left").select("doc_id", "tag", "n", "root", "component"), count
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    joined = _components(docs, n, percent)
+    joined, _ = _components(docs, n, percent)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     out = joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -286,13 +288,14 @@ def dedup(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents with all their columns, one row of each component: that of the smallest
     doc_id, null last, then of the smallest hash of its text; of rows that repeat both, that
     of the smallest hash of all its columns.  Rows with empty sets all stay."""
-    rows = written(_components(docs, n, percent).where("root is not null").groupBy("root", "doc_id", "tag").agg(F.count("*").alias("copies")), "rows")
+    judged, count = _components(docs, n, percent)
+    rows = written(judged.where("root is not null").groupBy("root", "doc_id", "tag").agg(F.count("*").alias("copies")), "rows", count)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
     best = rows.groupBy("root").agg(F.min(order).alias("best"))
     judged = rows.join(best, "root").withColumn("one", order == F.col("best"))
     # Rows that go, and those of which one is put back.
     out = judged.where(~F.col("one") | (F.col("copies") > 1))
-    out = written(out.select(F.col("doc_id").alias("gone"), F.col("tag").alias("gone_tag"), F.col("one").alias("back")), "gone")
+    out = written(out.select(F.col("doc_id").alias("gone"), F.col("tag").alias("gone_tag"), F.col("one").alias("back")), "gone", count)
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
     doc, tag = F.col(f"c{place(names, 'doc_id')}"), F.xxhash64(f"c{place(names, 'text')}")

@@ -114,3 +114,28 @@ def test_tables_on_the_way_go_when_they_are_read(spark):
     assert near_dup.components(docs).count() == 40
     left = [path.rsplit("/", 1)[1].split("-")[0] for _, path in common._LEFT[before:]]
     assert "classes" in left and not {"postings", "survivors", "sets", "lists", "members"} & set(left)
+
+
+def test_small_tables_take_few_files(spark, monkeypatch):
+    """Of 100 partitions of a few rows each, some share a task and a file: of a local folder, each costs processes."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**7)}" for _ in range(40)) for _ in range(150)]
+    texts = dict(enumerate(texts + [t + " more" for t in texts]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    files = {}
+    first = len(common._LEFT)
+    monkeypatch.setattr(near_dup, "discard", lambda *_: None)
+    change = {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in change}
+    try:
+        for k, v in change.items():
+            spark.conf.set(k, v)
+        got = {tuple(r) for r in near_dup.components(docs, 5, 80).select("doc_id", "n_shingles", "component_id", "kept").collect()}
+        for _, path in common._LEFT[first:]:
+            files.setdefault(path.rsplit("/", 1)[1].rsplit("-", 1)[0], []).append(len(spark.read.parquet(path).inputFiles()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == brute(texts, 5, 80) and sum(r[3] for r in got) == 150
+    assert {"classes", "postings", "survivors", "sets", "links", "edges"} <= set(files)
+    assert max(map(max, files.values())) <= 24, files
